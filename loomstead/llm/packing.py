@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import ship, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -124,6 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     ``keep_ids``.
     """
     spark = docs.sparkSession
+    ship(spark)
     tokens = written(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens")
     totals = sorted((r["part"], r["total"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("total")).collect())  # one row for each task
     ends = list(accumulate(n for _, n in totals))

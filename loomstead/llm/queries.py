@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import html_text, mixing, url_filter, warc
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +23,25 @@ def token_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), token_file(), keep_ids=False).drop("ids")
 
 
-QUERIES: dict[str, Query] = {"op8_packing": op8_packing}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing)}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, url_filter, warc
+from . import html_text, jaccard, mixing, url_filter, warc
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +43,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), token_file(), keep_ids=False).drop("ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents")).drop("n_verified")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing, op9_jaccard_join)}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

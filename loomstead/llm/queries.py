@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, mixing, url_filter, warc
+from . import html_text, jaccard, line_quality, mixing, url_filter, warc
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def token_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
@@ -47,5 +51,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents")).drop("n_verified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing, op9_jaccard_join)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing, op9_jaccard_join)}
+ORACLES: dict[str, str] = {"op1_line_quality": line_quality.SQL, "op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

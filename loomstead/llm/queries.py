@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, line_quality, mixing, url_filter, warc
+from . import html_text, jaccard, line_quality, mixing, quality_model, url_filter, warc
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), token_file(), keep_ids=False).drop("ids")
 
@@ -51,5 +55,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents")).drop("n_verified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op8_packing, op9_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op7_quality_model, op8_packing, op9_jaccard_join)}
 ORACLES: dict[str, str] = {"op1_line_quality": line_quality.SQL, "op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

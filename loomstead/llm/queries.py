@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, line_quality, mixing, quality_model, url_filter, warc
+from . import html_text, jaccard, licences, line_quality, mixing, neighbours, quality_model, url_filter, warc
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,5 +59,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents")).drop("n_verified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_url_filter, op3_html_extraction, op5_mixing, op6_warc, op7_quality_model, op8_packing, op9_jaccard_join)}
-ORACLES: dict[str, str] = {"op1_line_quality": line_quality.SQL, "op2_url_filter": url_filter.oracle_sql(), "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_url_filter, op3_html_extraction, op4_neighbours, op5_mixing, op6_warc, op7_quality_model, op8_packing, op9_jaccard_join, op10_licences)}
+ORACLES: dict[str, str] = {"op1_line_quality": line_quality.SQL, "op2_url_filter": url_filter.oracle_sql(), "op4_neighbours": neighbours.SQL, "op5_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

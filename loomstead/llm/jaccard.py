@@ -200,6 +200,25 @@ def join(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(label).alias("component_id"), F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_verified")).cast("long").alias("n_verified"))
 
 
+def keep_first(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, in its own columns: the row whose id is the component's.
+
+    Repeated rows of that id are copies of one document, of which one stays;
+    rows without an id, and all without a word, are in no group and stay.
+    """
+    groups = join(docs, percent, size, id_col, text_col)
+    first = groups.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    alone = wordless | F.col(id_col).isNull()
+    kept = docs.where(~alone).join(first, F.col(id_col) == F.col("first_id"), "left_semi")
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("repeated_id"))
+    # Only ids that occur more than once need a comparison of their rows.
+    marked = kept.join(repeated, F.col(id_col) == F.col("repeated_id"), "left")
+    once = marked.where("repeated_id IS NULL").select(*docs.columns)
+    twice = marked.where("repeated_id IS NOT NULL").groupBy("repeated_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(twice).unionByName(docs.where(alone))
+
+
 #: DuckDB SQL of ``join`` over ``documents``: all pairs that share a shingle are counted, links closed by recursion.
 SQL = r"""
 WITH RECURSIVE words AS (

@@ -79,13 +79,15 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row for each document, range-sorted by position.
 
     Columns: doc_id, source, size, source_size, target, taken (words, repeats
     counted), position (of the first copy, null if nothing is taken), copies
     (array of copy, words, position).  Documents fall into 16 to the power
-    ``bucket_digits`` buckets of each source.
+    ``bucket_digits`` buckets of each source.  ``row_col``, a number for each row,
+    is carried along as ``row`` and settles ties.
     """
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sized = docs.select(
@@ -94,6 +96,7 @@ def mix(
         count_words(F.col(text_col)).alias("size"),
         F.conv(F.substring(digest, 1, bucket_digits), 16, 10).cast("int").alias("bucket"),
         F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("key"),
+        *([F.col(row_col).cast("long").alias("row")] if row_col else []),
     )
     sized = written(sized, "sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -101,7 +104,7 @@ def mix(
     starts = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
     placed = buckets.withColumn("bucket_start", starts).join(sources.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own", "words")
     right = placed.select(F.col("source").alias("own"), F.col("bucket").alias("own_bucket"), "bucket_start", "source_size", "target", "weight")
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("bucket_start") + F.col("before")
     goal = F.floor(F.col("target") + 0.5).cast("long")
     own = sized.withColumn("before", F.sum("size").over(inner) - F.col("size")).join(right, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("own_bucket")))
@@ -119,10 +122,39 @@ def mix(
         F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
         F.get("copies", F.lit(0))["position"].alias("position"),
         "copies",
+        *(["row"] if row_col else []),
     )
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    ends = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(ends, 1, n.cast("int")), "")
+
+
+def training_stream(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, ramps: Sequence[tuple[float, float]] = RAMPS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The documents as they are trained on: a row for each copy, in their own columns, range-sorted by position.
+
+    A copy of fewer words than its document has the text cut after them and
+    ``chars_col`` set to its length.
+    """
+    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    parts = numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source"))
+    copies = mix(parts, weights, cap, ramps, row_col="row").where("taken > 0").select("row", "size", F.explode("copies").alias("c"))
+    rows = numbered.join(copies, "row").repartitionByRange("c.position").sortWithinPartitions("c.position")
+    whole, cut = F.col("c.words") == F.col("size"), first_words(F.col(f"doc.`{text_col}`"), F.col("c.words"))
+    out = []
+    for c in docs.columns:
+        own = F.col(f"doc.`{c}`")
+        if c == text_col:
+            own = F.when(whole, own).otherwise(cut)
+        elif c == chars_col:
+            own = F.when(whole, own).otherwise(F.length(cut)).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
+    return rows.select(*out)
+
+
 #: DuckDB SQL of the contract's columns of ``mix`` over ``documents``.
 SQL = r"""
 WITH sized AS (

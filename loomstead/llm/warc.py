@@ -256,7 +256,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """record_id, page_id, target_uri, record_type, refers_to (page_id), payload_bytes, payload_digest, problem of every record."""
     named = records.select("record_id", "page_id", "target_uri", "record_type", "refers_to_record", "payload_bytes", "payload_digest", "stated_digest", "problem")
     found = named.where("record_type = 'response'").groupBy(F.col("record_id").alias("to")).agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("of"))
-    out = named.join(found, F.when(F.col("record_type") == "revisit", F.col("refers_to_record")) == F.col("to"), "left")
+    # Responses meet themselves, so that their rows are spread by their own identifiers.
+    out = named.join(found, F.when(F.col("record_type") == "revisit", F.col("refers_to_record")).otherwise(F.col("record_id")) == F.col("to"), "left")
     revisit = F.col("record_type") == "revisit"
     lost = revisit & (F.col("of").isNull() | (F.col("of.payload_digest") != F.col("stated_digest")))
     return out.select(

@@ -32,6 +32,9 @@ from ._shared import ship, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+#: Offsets of at most so many parts (16 MB) are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_PARTS = 1_000_000
+
 
 def _byte_of_char() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256 on."""
@@ -148,6 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
                 types = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
+    if len(totals) <= BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, "part").select("doc_id", (F.col("before") + F.col("base")).alias("first"), "n", "ids")
     return placed.mapInArrow(cut, PIECES)
 

@@ -48,6 +48,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is no longer referred to, which it does when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 

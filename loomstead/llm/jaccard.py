@@ -14,11 +14,14 @@ threshold, three quarters unless stated.  The join is exact.
    before the shuffle, shingles of one unit drop out by a join whose large side
    can be split, and very common shingles hardly ever reach a prefix.
 3. Candidates.  In each shingle's group every unit is compared with the
-   group's smallest unit; after the components of these links are known, pairs
-   in one component need no test, and the units outside the main component
-   are compared with the rest of the group.  Sizes and positions bound the
-   overlap inside the join, so a group of near copies is never expanded into
-   its pairs.
+   group's smallest unit; sizes and positions bound the overlap inside the join.
+   A verified link puts a unit into the cluster of that smallest unit, at a known
+   distance.  Pairs in one component need no test.  Where a group holds several
+   components their clusters' centres are compared; as 1 - Jaccard is a metric,
+   the distance of two centres less the members' distances to them refutes
+   nearly all other pairs, as do sketches of the sets' parities, which bound the
+   difference of two sets from below; only the rest is verified one by one.  So a
+   group of near copies is never expanded into its pairs.
 4. Second and third order: the hash ascending and descending.  A pair must
    share a shingle in the prefixes of these orders too, before its sets are
    counted in full.
@@ -43,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import forget, ship, written
+from ._shared import forget, ship, tidy, written
 from ._text import in_steps, shingle_set, utf8_arrays
 from .components import components
 
 #: Of ten shingles, so many stand at the front of the first order.  It must exceed 1 - threshold by a little.
 FRONT_TENTHS = 3
 _NO_ID = 1 << 62
+#: Words of 64 bits in a set's sketch, the parities of its shingles by hash.
+SKETCH = 8
 
 
 def _unit(doc_id: int | None, key: bytes) -> int:
@@ -65,13 +70,20 @@ def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in 64 * ``SKETCH`` hash cells; two sets differ in at least as many shingles as their sketches in bits."""
+    cells = 64 * SKETCH
+    bits = np.bincount(((tokens >> np.uint64(40)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def shingle_rows(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, unit, n, key of every row, and front: the shingles of which the prefix in the first order consists, ``ahead`` of them from the front of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_steps(batch, 1000):
-                ids, units, counts, keys, fronts, aheads = part.column(0).to_pylist(), [], [], [], [], []
+                ids, units, counts, keys, fronts, aheads, sketches = part.column(0).to_pylist(), [], [], [], [], [], []
                 for doc_id, raw in zip(ids, utf8_arrays(part.column(1)), strict=True):
                     tokens = shingle_set(raw, size)
                     key = _key(tokens)
@@ -84,16 +96,19 @@ def shingle_rows(docs: DataFrame, percent: int, size: int, id_col: str, text_col
                     units.append(_unit(doc_id, key))
                     counts.append(len(tokens))
                     keys.append(key)
+                    sketches.append(sketch(tokens))
                     fronts.append(front)
                 offsets = np.zeros(len(fronts) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in fronts], out=offsets[1:])
                 values = np.concatenate(fronts) if fronts else np.zeros(0, dtype=np.uint64)
+                bits = np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64)
+                fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(bits))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(units, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(aheads, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
-                    names=["doc_id", "unit", "n", "key", "ahead", "front"],
+                    [part.column(0), pa.array(units, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(aheads, pa.int64()), fixed, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
+                    names=["doc_id", "unit", "n", "key", "ahead", "bits", "front"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, n long, key binary, ahead long, front array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, n long, key binary, ahead long, bits array<long>, front array<long>")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -112,53 +127,129 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return ranked.where(at <= p).select("token", "unit", "n", at.alias("at"))
 
 
+def _allowed(n1: F.Column, n2: F.Column, room1: F.Column, room2: F.Column, percent: int, low1: F.Column | None = None, low2: F.Column | None = None) -> F.Column:
+    """Whether sizes, and the shingles from a shared one on, the first that two units share, allow a link.
+
+    For clusters ``n`` and ``room`` are the largest values and ``low`` the smallest sizes.
+    """
+    low1, low2 = n1 if low1 is None else low1, n2 if low2 is None else low2
+    return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(low1, low2)) & (F.lit(100 + percent) * F.least(room1, room2) >= F.lit(percent) * (low1 + low2))
+
+
 def _bounds(percent: int) -> F.Column:
-    """Whether sizes and places of a shared shingle, the first that two units share, allow a link."""
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    overlap = F.lit(1) + F.least(n1 - F.col("x.at"), n2 - F.col("y.at"))
-    return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)) & (F.lit(100 + percent) * overlap >= F.lit(percent) * (n1 + n2))
+    return _allowed(F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.at") + 1, F.col("y.n") - F.col("y.at") + 1, percent)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def _apart() -> F.Column:
+    """Least distance of x and y by their sketches: of sets that differ in h shingles, n and m large, it is 2 h / (n + m + h)."""
+    h = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0")))).cast("double")
+    return 2 * h / (F.col("x.size") + F.col("y.size") + h)
+
+
+def _distance(a: np.ndarray, b: np.ndarray, percent: int, exact: bool) -> float | None:
+    """1 - Jaccard; None, unless ``exact``, if the second or the third order shows that there is no link."""
     p, q = prefix_length(len(a), percent), prefix_length(len(b), percent)
-    for left, right in ((a[:p], b[:q]), (a[len(a) - p :], b[len(b) - q :])):  # second and third order
+    for left, right in () if exact else ((a[:p], b[:q]), (a[len(a) - p :], b[len(b) - q :])):
         if not np.isin(left, right, assume_unique=True).any():
-            return False
+            return None
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 1.0 - both / (len(a) + len(b) - both)
+
+
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose documents link."""
+def _texts(units: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """unit, text of the given units."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = [x if x is not None else _unit(None, _key(shingle_set(raw, size))) for x, raw in zip(batch.column(0).to_pylist(), utf8_arrays(batch.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), batch.column(1)], names=["unit", "text"])
 
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return written(plain.mapInArrow(name, "unit long, text string").join(units, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text")), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int, exact: bool = False) -> DataFrame:
+    """a, b, distance, linked: those of ``pairs`` (a, b) whose documents link, with ``exact`` all of them."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            kept = []
+            kept, distances, linked = [], [], []
             a = batch.column(0).to_pylist()
             for i, (left, right) in enumerate(zip(utf8_arrays(batch.column(2)), utf8_arrays(batch.column(3)), strict=True)):
                 if a[i] != last:
                     last, tokens = a[i], shingle_set(left, size)
-                if _linked(tokens, shingle_set(right, size), percent):
+                other = shingle_set(right, size)
+                d = _distance(tokens, other, percent, exact)
+                link = d is not None and _links(tokens, other, percent)
+                if link or exact:
                     kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+                    distances.append(d)
+                    linked.append(link)
+            ab = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ab.columns, pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
     needed = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = plain.mapInArrow(name, "unit long, text string").join(needed, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = texts.join(needed, "unit", "left_semi")
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    links = written(both.mapInArrow(test, "a long, b long"), "verified")
-    forget(texts)
+    links = written(both.mapInArrow(test, "a long, b long, distance double, linked boolean"), "verified")
+    tidy(pairs.sparkSession)
     return links
 
 
+def _across(prefixes: DataFrame, sketches: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """Links between components that share a shingle in their prefixes; None if there is nothing to test."""
+    near = links.groupBy(F.col("b").alias("unit")).agg(F.min(F.struct("distance", "a")).alias("own"))
+    centres = links.select(F.col("a").alias("unit")).distinct().withColumn("is_centre", F.lit(True))
+    named = labels.withColumnRenamed("node", "unit").join(near, "unit", "left").join(centres, "unit", "left")
+    alone = F.col("is_centre").isNotNull() | F.col("own").isNull()
+    named = named.select("unit", "label", F.when(alone, F.col("unit")).otherwise(F.col("own.a")).alias("centre"), F.when(alone, 0.0).otherwise(F.col("own.distance")).alias("radius"))
+    placed = prefixes.join(named, "unit", "left").select("token", "unit", "n", "at", F.coalesce("label", "unit").alias("label"), F.coalesce("centre", "unit").alias("centre"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    # Groups that hold several components, and of those the units outside the main one, that of the smallest unit.
+    main = placed.groupBy("token").agg(F.min(F.struct("unit", "label")).alias("s"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token", F.col("s.label").alias("main"))
+    grouped = written(placed.join(main, "token"), "groups")
+    clusters = grouped.groupBy("token", "centre", "label", "main").agg(F.min("n").alias("low"), F.max("n").alias("n"), F.max(F.col("n") - F.col("at") + 1).alias("room"), F.max("radius").alias("radius"))
+    clusters = clusters.join(sketches.withColumnRenamed("unit", "centre").withColumnRenamed("n", "size"), "centre")
+    limit = 1.0 - percent / 100 + 1e-9
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.centre") < F.col("y.centre"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once
+    fits = _allowed(F.col("x.n"), F.col("y.n"), F.col("x.room"), F.col("y.room"), percent, F.col("x.low"), F.col("y.low"))
+    pairs = clusters.where("label <> main").alias("x").join(clusters.alias("y"), apart & fits & (_apart() - F.col("x.radius") - F.col("y.radius") <= limit))
+    wide = F.greatest(F.col("x.radius") + F.col("y.radius"), F.lit(0.0))
+    pairs = pairs.select(F.least("x.centre", "y.centre").alias("a"), F.greatest("x.centre", "y.centre").alias("b"), wide.alias("wide")).groupBy("a", "b").agg(F.max("wide").alias("wide"))
+    pairs = written(pairs, "centres")
+    if not pairs.limit(1).count():
+        return None
+    measured = verify(pairs.select("a", "b"), texts, percent, size, exact=True)
+    found = measured.where("linked")
+    close = written(measured.join(pairs.where("wide > 0"), ["a", "b"]).where(F.col("distance") - F.col("wide") <= limit).select("a", "b", "distance"), "close")
+    if not close.limit(1).count():
+        return found
+    labels = written(components(links.select("a", "b").unionByName(found.select("a", "b"))), "labels")
+    fresh = labels.select(F.col("node").alias("unit"), F.col("label").alias("new"))
+    members = grouped.join(fresh, "unit", "left").withColumn("label", F.coalesce("new", "unit")).drop("new", "main")
+    members = members.join(sketches.withColumnRenamed("n", "size"), "unit")
+    # Of two clusters that of fewer rows is sent to the other, which stays as it is.
+    rows = members.groupBy("centre").agg(F.count(F.lit(1)).alias("k"))
+    sized = close.join(rows.toDF("a", "ka"), "a").join(rows.toDF("b", "kb"), "b")
+    small = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    sides = sized.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("other"), "distance")
+    left = members.join(sides, "centre")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.centre")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.distance") - F.col("x.radius") - F.col("y.radius") <= limit)
+    rest = left.alias("x").join(members.alias("y"), meet & _bounds(percent) & (_apart() <= limit)).select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b")).distinct()
+    rest = written(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    if rest.limit(1).count():
+        found = found.unionByName(verify(rest, texts, percent, size))
+    forget(grouped)
+    return found
+
+
 def join(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document, and n_verified: links verified for its class, which span the component but are not all of its links."""
     if 10 * FRONT_TENTHS < 100 - percent:
@@ -167,30 +258,30 @@ def join(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     ship(spark)
     rows = written(shingle_rows(docs, percent, size, id_col, text_col), "shingles")
     live = rows.where("n > 0")
-    classes = written(live.groupBy("key").agg(F.min("unit").alias("unit"), F.first("n").alias("n"), F.first("ahead").alias("ahead"), F.min_by("front", "unit").alias("front")), "classes")
+    classes = written(live.groupBy("key").agg(F.min("unit").alias("unit"), F.first("n").alias("n"), F.first("ahead").alias("ahead"), F.first("bits").alias("bits"), F.min_by("front", "unit").alias("front")), "classes")
+    narrow = written(rows.select("doc_id", "unit", "n", "key"), "rows")
+    forget(rows)
+    rows, live = narrow, narrow.where("n > 0")
+    tidy(spark)
     prefixes = written(_prefixes(classes, percent), "prefixes")
+    sketches = written(classes.select("unit", "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]), "sketches")
     forget(classes)
+    tidy(spark)
 
     first = prefixes.groupBy("token").agg(F.min(F.struct("unit", "n", "at")).alias("y"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("y.unit"), F.col("y.n"), F.col("y.at"))
     star = first.alias("y").join(prefixes.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") != F.col("y.unit")) & _bounds(percent))
     tried = written(star.select(F.col("y.unit").alias("a"), F.col("x.unit").alias("b")).distinct(), "candidates")
-    links = verify(tried, docs, percent, size, id_col, text_col)
-
-    # Units outside the component of their group's smallest unit, against the whole group.
-    labels = written(components(links), "labels")
-    placed = prefixes.join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-    main = placed.groupBy("token").agg(F.min(F.struct("unit", "label")).alias("s"), F.count(F.lit(1)).alias("k")).where("k > 2").select("token", F.col("s.unit").alias("head"), F.col("s.label").alias("main"))
-    grouped = written(placed.join(main, "token"), "groups")
-    away = grouped.where("label <> main")
-    others = grouped.where("unit <> head").join(away.select("token").distinct(), "token", "left_semi")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.unit") < F.col("y.unit")))
-    rest = away.alias("x").join(others.alias("y"), apart & _bounds(percent)).select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b")).distinct()
-    rest = written(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "candidates")
-    if rest.limit(1).count():
-        links = written(links.unionByName(verify(rest, docs, percent, size, id_col, text_col)), "links")
-        labels = written(components(links), "labels")
-    for x in (prefixes, grouped, tried, rest):
+    texts = _texts(prefixes.select("unit").distinct(), docs, size, id_col, text_col)
+    links = verify(tried, texts, percent, size)
+
+    labels = written(components(links.select("a", "b")), "labels")
+    more = _across(prefixes, sketches, links, labels, texts, percent, size)
+    if more is not None:
+        links = written(links.unionByName(more), "links")
+        labels = written(components(links.select("a", "b")), "labels")
+    for x in (prefixes, sketches, tried, texts):
         forget(x)
+    tidy(spark)
 
     units = live.groupBy("key").agg(F.min("unit").alias("unit")).join(labels.withColumnRenamed("node", "unit"), "unit", "left")
     degree = links.select(F.col("a").alias("unit")).union(links.select("b")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_verified"))
@@ -207,15 +298,15 @@ def keep_first(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str =
     rows without an id, and all without a word, are in no group and stay.
     """
     groups = join(docs, percent, size, id_col, text_col)
-    first = groups.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    first = groups.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct()
     wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
     alone = wordless | F.col(id_col).isNull()
-    kept = docs.where(~alone).join(first, F.col(id_col) == F.col("first_id"), "left_semi")
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("repeated_id"))
+    kept = docs.where(~alone).join(first, F.col(id_col) == F.col("__first_id"), "left_semi")
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("__repeated_id"))
     # Only ids that occur more than once need a comparison of their rows.
-    marked = kept.join(repeated, F.col(id_col) == F.col("repeated_id"), "left")
-    once = marked.where("repeated_id IS NULL").select(*docs.columns)
-    twice = marked.where("repeated_id IS NOT NULL").groupBy("repeated_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    marked = kept.join(repeated, F.col(id_col) == F.col("__repeated_id"), "left")
+    once = marked.where("__repeated_id IS NULL").select(*docs.columns)
+    twice = marked.where("__repeated_id IS NOT NULL").groupBy("__repeated_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
     return once.unionByName(twice).unionByName(docs.where(alone))
 
 

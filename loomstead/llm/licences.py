@@ -8,13 +8,20 @@ words from their ends and, where words are left, by a longest common
 subsequence.  Coverage is the share of the template's words that are aligned;
 where alignment scatters over a long text, the densest stretch counts.
 
+Alignment is local: only stretches of the text, of at most ``SPREAD`` times the
+template's length, that hold enough of its words are aligned, each by itself,
+so that the same words elsewhere and other copies of a notice cannot draw the
+alignment apart.  All stretches that reach the limit are reported; of those that
+overlap, the one with the most aligned words, then the highest coverage, then
+the shortest stays.
+
 Every document is compared with every template, whole; the templates are a
 parameter of bounded size, so that the scan is one pass without a shuffle.  A
 document that shares none of a template's words has coverage 0 without being
 aligned.
 
 Defined results: null, empty and blank texts have no licence; of templates with
-equal coverage the longer one is named, then the first in the table; a
+equal coverage the longer one is named, then the one that stands first in the text; a
 template of which no word is left after normalisation is ignored; repeated
 rows give repeated results; an empty table gives no rows.  Only the id and text
 columns are read.
@@ -23,9 +30,10 @@ columns are read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +45,8 @@ COVERAGE = 0.8
 #: A template word may lie among so many other words, on average, in the stretch that counts.
 SPREAD = 2.0
 MAX_TEMPLATE_WORDS = 200_000
+#: Templates of at most so many words are aligned from each of their words in the text.
+SHORT = 40
 
 #: Licence notices that are looked for, by SPDX identifier.
 TEMPLATES = {
@@ -138,57 +148,101 @@ class Scanner:
         self.plain = [(Counter(x for x in w if x.isascii()), self.coverage * len(w) - sum(not x.isascii() for x in w)) for _, w in self.templates]
         self.known = frozenset(w for _, words in self.templates for w in words)
 
-    def _windows(self, places: list[int], n: int) -> list[tuple[int, int]]:
-        """Stretches of the text that hold any of the template's words, each with a template's length of room around it."""
-        room = int(self.spread * n) + 1
-        out: list[tuple[int, int]] = []
-        for p in places:
-            if out and p - room <= out[-1][1]:
-                out[-1] = (out[-1][0], p + room)
-            else:
-                out.append((p - room, p + room))
-        return out
-
-    def __call__(self, text: str | None) -> tuple[str | None, float, int, int, int]:
-        """Licence, its coverage, matched words, and the first and last place in the text; no licence below the limit."""
-        nothing = (None, 0.0, 0, -1, -1)
-        if not text:
-            return nothing
-        low = text.lower()
-        if not any(sum(n for w, n in plain.items() if w in low) >= least for plain, least in self.plain):
-            return nothing
-        found = words_of(text)
-        words = [x[0] for x in found]
+    def _stretches(self, template: Sequence[str], places: Sequence[int]) -> Iterator[tuple[int, int]]:
+        """Stretches of the text (first place, end) that can hold the template, by the sorted ``places`` of its words.
+
+        A stretch starts with a word of the template.  Those of short templates start at each; for
+        long ones the starts are thinned and the stretches longer by as much.
+        """
+        n = len(template)
+        step = 1 if n <= SHORT else n // 4
+        room, least = self._room(n) + step - 1, max(1, ceil(self.coverage * n - 1e-9))
+        last = -step
+        for k in range(len(places) - least + 1):
+            p = places[k]
+            if p - last >= step:
+                last = p
+                if places[k + least - 1] - p < room:
+                    yield p, p + room
+
+    def _room(self, n: int) -> int:
+        return int(max(n, self.spread * n))
+
+    def _found(self, words: Sequence[str]) -> Iterator[tuple[tuple[int, ...], str, float, int, int, int]]:
+        """Order of preference, licence, coverage, matched words, first and last word of every stretch that reaches the limit."""
         hits: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             if w in self.known:
                 hits.setdefault(w, []).append(i)
-        best, best_rank = nothing, (0.0, 0)
-        for name, template in self.templates:
-            own = set(template)
-            if sum((Counter(template) & Counter({w: len(hits.get(w, ())) for w in own})).values()) < self.coverage * len(template):
+        for at, (name, template) in enumerate(self.templates):
+            n, need = len(template), Counter(template)
+            least = self.coverage * n
+            if sum(min(k, len(hits.get(w, ()))) for w, k in need.items()) < least:
                 continue
-            for a, b in self._windows(sorted(i for w in own for i in hits.get(w, ())), len(template)):
-                a = max(0, a)
-                pairs = densest(align(template, words[a : b + 1]), len(template), self.spread)
-                rank = (len(pairs) / len(template), len(template))
-                if pairs and rank[0] >= self.coverage and rank > best_rank:
-                    best, best_rank = (name, rank[0], len(pairs), found[a + pairs[0][1]][1], found[a + pairs[-1][1]][2]), rank
-        return best
+            places = sorted(i for w in need for i in hits.get(w, ()))
+            tries = list(self._stretches(template, places))
+            if n > SHORT:
+                # A copy whose head is whole is also aligned from its head.
+                tries += [(p, p + self._room(n)) for p in places if list(words[p : p + 2]) == template[:2]]
+            for a, b in tries:
+                part = words[a:b]
+                if sum((Counter(w for w in part if w in need) & need).values()) < least:
+                    continue
+                ways = [align(template, part)] if n > SHORT else [align(template, part), _subsequence(template, part)]
+                pairs = max((densest(x, n, self.spread) for x in ways), key=lambda x: (len(x), x[0][1] - x[-1][1] if x else 0))
+                if pairs and len(pairs) >= least:
+                    first, last = a + pairs[0][1], a + pairs[-1][1]
+                    yield (-len(pairs), n, last - first, first, at), name, len(pairs) / n, len(pairs), first, last
+
+    def spans(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
+        """Licence, coverage, matched words, and the first and last place of every notice or licence text, in the order of the text."""
+        if not text:
+            return []
+        low = text.lower()
+        if not any(sum(n for w, n in plain.items() if w in low) >= least for plain, least in self.plain):
+            return []
+        found = words_of(text)
+        out: list[tuple[str, float, int, int, int]] = []
+        firsts: list[int] = []
+        lasts: list[int] = []
+        for _, name, coverage, matched, first, last in sorted(self._found([x[0] for x in found])):
+            k = bisect_right(firsts, first)
+            if (k and lasts[k - 1] >= first) or (k < len(firsts) and firsts[k] <= last):
+                continue
+            firsts.insert(k, first)
+            lasts.insert(k, last)
+            out.insert(k, (name, coverage, matched, found[first][1], found[last][2]))
+        return out
+
+    def best(self, spans: Sequence[tuple[str, float, int, int, int]]) -> tuple[str | None, float, int, int, int]:
+        """The span with the highest coverage, then the longest template, then the first."""
+        return max(spans, key=lambda x: (x[1], x[2])) if spans else (None, 0.0, 0, -1, -1)
+
+    def __call__(self, text: str | None) -> tuple[str | None, float, int, int, int]:
+        """Licence, its coverage, matched words, and the first and last place in the text; no licence below the limit."""
+        return self.best(self.spans(text))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, licence, coverage, n_matched, start, stop (code points, -1 without a licence) of every document."""
+    """doc_id, licence, coverage, n_matched, start, stop (code points, -1 without a licence) of every document, and all its ``licences``.
+
+    The columns name the best of the licences; the array has each of them, in the order of the text.
+    """
     ship(docs.sparkSession)
     fixed = dict(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(fixed, coverage, spread)
+        names = ("licence", "coverage", "n_matched", "start", "stop")
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = [scanner(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "licence", "coverage", "n_matched", "start", "stop"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, licence string, coverage double, n_matched long, start long, stop long")
+                every = [scanner.spans(x) for x in part.column(1).to_pylist()]
+                rows = [scanner.best(x) for x in every]
+                spans = pa.array([[dict(zip(names, x, strict=True)) for x in s] for s in every], pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), spans], names=["doc_id", *names, "licences"])
+
+    one = "licence string, coverage double, n_matched long, start long, stop long"
+    every = one.replace(" ", ": ").replace(",: ", ", ")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {one}, licences array<struct<{every}>>")

@@ -85,3 +85,27 @@ def test_a_long_template_with_repeated_words():
     text = ["x"] * 500 + [w for w in words if rng.random() > 0.05] + ["y"] * 500
     name, coverage, *_ = Scanner({"long": " ".join(words)})(" ".join(text))
     assert name == "long" and 0.93 < coverage < 0.97
+
+
+def test_common_words_and_repeats_do_not_hide_a_notice():
+    notice = licences.TEMPLATES["GPL-3.0"]
+    text = f"this old work there is {'of the under words and on it goes ' * 8} {notice}\n{notice} end"
+    assert Scanner(licences.TEMPLATES)(text)[:2] == ("GPL-3.0", 1.0)
+    spans = Scanner(licences.TEMPLATES).spans(text)
+    assert [(x[0], x[1], text[x[3] : x[4]]) for x in spans] == [("GPL-3.0", 1.0, notice.rstrip("."))] * 2
+
+
+def test_every_licence_of_a_document_is_reported(spark):
+    names = ["MIT", "GPL-3.0", "MIT", "CC-BY-NC-4.0"]
+    text = "\n".join(f"{licences.TEMPLATES[x]} some words between" for x in names)
+    out = scan(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")).collect()
+    assert [[x.licence for x in r.licences] for r in out] == [names, [], []]
+    assert all(text[x.start : x.stop] == licences.TEMPLATES[x.licence].rstrip(".") for x in out[0].licences)
+
+
+def test_a_long_template_twice():
+    rng = random.Random(4)
+    words = [f"t{rng.randrange(90)}" for _ in range(300)]
+    copy = " ".join(words)
+    spans = Scanner({"long": copy})(None), Scanner({"long": copy}).spans(f"t1 t2 x y {copy} t3 t4 {copy}")
+    assert spans[0][0] is None and [x[1] for x in spans[1]] == [1.0, 1.0]

@@ -15,6 +15,9 @@ alignment apart.  All stretches that reach the limit are reported; of those that
 overlap, the one with the most aligned words, then the highest coverage, then
 the shortest stays.
 
+Words that tell licences and versions apart, the keys of a template, must be
+among the aligned ones: another licence's name in the same sentence is none.
+
 Every document is compared with every template, whole; the templates are a
 parameter of bounded size, so that the scan is one pass without a shuffle.  A
 document that shares none of a template's words has coverage 0 without being
@@ -40,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ship
+from .licence_table import GENERIC, NOTICE_WORDS, Template, licence_table
 
 COVERAGE = 0.8
 #: A template word may lie among so many other words, on average, in the stretch that counts.
@@ -48,7 +52,7 @@ MAX_TEMPLATE_WORDS = 200_000
 #: Templates of at most so many words are aligned from each of their words in the text.
 SHORT = 40
 
-#: Licence notices that are looked for, by SPDX identifier.
+#: A few notices by SPDX identifier; ``licence_table`` has all that is looked for.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -136,17 +140,34 @@ def densest(pairs: Sequence[tuple[int, int]], n: int, spread: float = SPREAD) ->
     return pairs[best[0] : best[1]]
 
 
+def _as_table(templates: Mapping[str, str] | Sequence[Template]) -> list[Template]:
+    return [Template(*x) for x in (templates.items() if isinstance(templates, Mapping) else templates)]
+
+
 class Scanner:
     """Templates, ready for many texts."""
 
-    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE, spread: float = SPREAD) -> None:
+    def __init__(self, templates: Mapping[str, str] | Sequence[Template], coverage: float = COVERAGE, spread: float = SPREAD) -> None:
         self.coverage, self.spread = coverage, spread
-        self.templates = [(name, w) for name, text in templates.items() if (w := [x[0] for x in words_of(text)])]
-        if sum(len(w) for _, w in self.templates) > MAX_TEMPLATE_WORDS:
+        self.templates: list[tuple[str, list[str], frozenset[str]]] = []
+        for t in _as_table(templates):
+            if words := [x[0] for x in words_of(t.text)]:
+                keys = t.keys if t.keys is not None else frozenset(words) - GENERIC if len(words) <= NOTICE_WORDS else frozenset()
+                self.templates.append((t.licence, words, keys))
+        if sum(len(w) for _, w, _ in self.templates) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have over {MAX_TEMPLATE_WORDS} words")
         # Plain words must be in the lower-cased text as they are; others are taken to be there.
-        self.plain = [(Counter(x for x in w if x.isascii()), self.coverage * len(w) - sum(not x.isascii() for x in w)) for _, w in self.templates]
-        self.known = frozenset(w for _, words in self.templates for w in words)
+        self.plain = [
+            (frozenset(x for x in keys if x.isascii()), {} if keys else Counter(x for x in w if x.isascii()), 0 if keys else self.coverage * len(w) - sum(not x.isascii() for x in w))
+            for _, w, keys in self.templates
+        ]
+        self.keys = frozenset(k for keys, _, _ in self.plain for k in keys)
+        self.known = frozenset(w for _, words, _ in self.templates for w in words)
+
+    def _near(self, low: str) -> list[int]:
+        """The templates that can be in a text."""
+        there = {k for k in self.keys if k in low}
+        return [i for i, (keys, plain, least) in enumerate(self.plain) if keys <= there and sum(n for w, n in plain.items() if w in low) >= least]
 
     def _stretches(self, template: Sequence[str], places: Sequence[int]) -> Iterator[tuple[int, int]]:
         """Stretches of the text (first place, end) that can hold the template, by the sorted ``places`` of its words.
@@ -168,13 +189,16 @@ class Scanner:
     def _room(self, n: int) -> int:
         return int(max(n, self.spread * n))
 
-    def _found(self, words: Sequence[str]) -> Iterator[tuple[tuple[int, ...], str, float, int, int, int]]:
+    def _found(self, words: Sequence[str], near: Sequence[int]) -> Iterator[tuple[tuple[int, ...], str, float, int, int, int]]:
         """Order of preference, licence, coverage, matched words, first and last word of every stretch that reaches the limit."""
         hits: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             if w in self.known:
                 hits.setdefault(w, []).append(i)
-        for at, (name, template) in enumerate(self.templates):
+        for at in near:
+            name, template, keys = self.templates[at]
+            if any(k not in hits for k in keys):
+                continue
             n, need = len(template), Counter(template)
             least = self.coverage * n
             if sum(min(k, len(hits.get(w, ()))) for w, k in need.items()) < least:
@@ -190,7 +214,7 @@ class Scanner:
                     continue
                 ways = [align(template, part)] if n > SHORT else [align(template, part), _subsequence(template, part)]
                 pairs = max((densest(x, n, self.spread) for x in ways), key=lambda x: (len(x), x[0][1] - x[-1][1] if x else 0))
-                if pairs and len(pairs) >= least:
+                if pairs and len(pairs) >= least and keys <= {template[i] for i, _ in pairs}:
                     first, last = a + pairs[0][1], a + pairs[-1][1]
                     yield (-len(pairs), n, last - first, first, at), name, len(pairs) / n, len(pairs), first, last
 
@@ -198,14 +222,14 @@ class Scanner:
         """Licence, coverage, matched words, and the first and last place of every notice or licence text, in the order of the text."""
         if not text:
             return []
-        low = text.lower()
-        if not any(sum(n for w, n in plain.items() if w in low) >= least for plain, least in self.plain):
+        near = self._near(text.lower())
+        if not near:
             return []
         found = words_of(text)
         out: list[tuple[str, float, int, int, int]] = []
         firsts: list[int] = []
         lasts: list[int] = []
-        for _, name, coverage, matched, first, last in sorted(self._found([x[0] for x in found])):
+        for _, name, coverage, matched, first, last in sorted(self._found([x[0] for x in found], near)):
             k = bisect_right(firsts, first)
             if (k and lasts[k - 1] >= first) or (k < len(firsts) and firsts[k] <= last):
                 continue
@@ -223,13 +247,13 @@ class Scanner:
         return self.best(self.spans(text))
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] | Sequence[Template] | None = None, coverage: float = COVERAGE, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence, coverage, n_matched, start, stop (code points, -1 without a licence) of every document, and all its ``licences``.
 
-    The columns name the best of the licences; the array has each of them, in the order of the text.
+    Without ``templates`` those of ``licence_table`` are looked for.  The columns name the best of the licences; the array has each of them, in the order of the text.
     """
     ship(docs.sparkSession)
-    fixed = dict(templates)
+    fixed = [tuple(t) for t in _as_table(licence_table() if templates is None else templates)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(fixed, coverage, spread)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstead.llm import licences
+from loomstead.llm.licence_table import licence_table
 from loomstead.llm.licences import Scanner, align, densest, increasing, scan
 
 
@@ -109,3 +110,36 @@ def test_a_long_template_twice():
     copy = " ".join(words)
     spans = Scanner({"long": copy})(None), Scanner({"long": copy}).spans(f"t1 t2 x y {copy} t3 t4 {copy}")
     assert spans[0][0] is None and [x[1] for x in spans[1]] == [1.0, 1.0]
+
+
+@pytest.fixture(scope="module")
+def table():
+    return Scanner(licence_table())
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Released under the BSD License.", "BSD"),
+    ("Released under the WTFPL License.", None),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY-NC-ND 3.0.", "CC-BY-NC-ND-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+])
+def test_names_and_versions_are_told_apart(table, text, want):
+    assert table(text)[0] == want
+
+
+def test_every_template_is_its_own_licence(table):
+    for t in licence_table():
+        own = f"some words before it\n\n{t.text}\n\nand some after it"
+        assert table(own)[0] == t.licence, t.text[:80]
+        assert [x[0] for x in table.spans(own)] == [t.licence], t.text[:80]
+
+
+def test_whole_texts_with_edits_are_found_in_a_table(spark):
+    rng = random.Random(3)
+    texts = {t.licence: t.text for t in licence_table()[:20]}
+    rows = [(i, f"head of a file\n{' '.join(w for w in x.split() if rng.random() > 0.01)}\nfoot") for i, x in enumerate((texts["MIT"], texts["GPL-2.0"]))]
+    assert sorted((r.doc_id, r.licence) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(0, "MIT"), (1, "GPL-2.0")]

@@ -14,13 +14,15 @@ folder that all executors share and reads it again for the next one.
 4. Sources are mixed to their target weights: documents are repeated or left
    out; the copy in which a source's target ends is cut at that word.
    Rows are in the order of the curriculum.
-5. Documents are packed into windows of 2048 tokens.
+5. Documents are packed into windows of 2048 tokens, in the order of the files
+   and rows of stage 4, which is that of the curriculum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,16 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, token_file())
+    return packing.pack(docs, token_file(), by_file=_read_from_files(docs))
+
+
+def _read_from_files(docs: DataFrame) -> bool:
+    """Whether the rows have a place in a file; those of tables that were never written keep the order they come in."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("rules", rules), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]

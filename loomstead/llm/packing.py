@@ -8,6 +8,11 @@ offsets and cuts at the multiples of the window; a document that crosses a
 boundary has a piece, a boundary record, in each window it touches.  No row is
 shuffled, and only the last window can be padded.
 
+A table that is read from files does not come in their order: Spark deals the
+largest files first.  With ``by_file`` the parts are the runs of adjoining rows
+of a file instead of the partitions, and stand in the order of file name and
+row index, so that what was written range-sorted is packed in that order.
+
 Defined results: a null or empty text has the end token alone; a null doc_id
 is kept; repeated rows are packed as often as they occur; rows keep the order
 of the input; an empty table has no pieces.  Only ``id_col`` and ``text_col``
@@ -17,6 +22,7 @@ are read, so that other columns cannot clash.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -98,8 +104,8 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First pass: doc_id, part, before (tokens before it in the part), n, ids.
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", by_file: bool = False) -> DataFrame:
+    """First pass: doc_id, part, before (tokens before it in the part), n, ids; with ``by_file`` also file and row (its index in the file).
 
     ``tokenizer`` is the path of a tokenizer file, at the same place on every executor.
     """
@@ -107,29 +113,52 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         width = np.dtype(encode.width).itemsize
+        part, last = (part << 32 if by_file else part), None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 ids = [x + encode.end for x in encode([text or "" for text in piece.column(1).to_pylist()])]
                 counts = [len(x) // width for x in ids]
-                starts = list(accumulate(counts, initial=before))
-                before = starts.pop()
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
+                places = zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True) if by_file else [None] * len(ids)
+                parts, starts = [], []
+                for place, n in zip(places, counts, strict=True):
+                    if place is not None:
+                        if last is not None and place != (last[0], last[1] + 1):
+                            part, before = part + 1, 0
+                        last = place
+                    parts.append(part)
+                    starts.append(before)
+                    before += n
+                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(parts, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), *piece.columns[2:]], names=["doc_id", "part", "before", "n", "ids", *piece.schema.names[2:]])
+
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if by_file else []
+    kinds = "doc_id long, part long, before long, n long, ids binary" + (", file string, row long" if by_file else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place).mapInArrow(run, kinds)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, part long, before long, n long, ids binary")
+def _in_name_order(file: str) -> list[str | int]:
+    """Sort key of a file: numbers in its name count as numbers (part-99999 before part-100000)."""
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"(\d+)", file))]
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, by_file: bool = False) -> DataFrame:
     """Pieces of all documents: ``PIECES``.
 
     Sequence s holds the global tokens [s * window, (s + 1) * window).  ``ids``
     has a piece's ids as little-endian unsigned 32-bit integers, null unless
-    ``keep_ids``.
+    ``keep_ids``.  ``by_file`` is for whole tables as they are read from Parquet
+    files, and keeps the order of files and rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    tokens = written(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens")
-    totals = sorted((r["part"], r["total"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("total")).collect())  # one row for each task
+    tokens = written(tokenize(docs, tokenizer, end_id, id_col, text_col, by_file), "tokens")
+    first = [F.first("file").alias("file"), F.min("row").alias("row")] if by_file else []
+    found = tokens.groupBy("part").agg(F.sum("n").alias("total"), *first).collect()  # one row for each task, or run of rows of a file
+    if by_file:
+        found.sort(key=lambda r: (_in_name_order(r["file"]), r["row"]))
+    else:
+        found.sort(key=lambda r: r["part"])
+    totals = [(r["part"], r["total"]) for r in found]
     ends = list(accumulate(n for _, n in totals))
     offsets = spark.createDataFrame([(p, end - n) for (p, n), end in zip(totals, ends, strict=True)], "part long, base long")
 

@@ -49,3 +49,41 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+@pytest.fixture
+def many_files(spark):
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def packed_order(rows):
+    return [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+
+
+def test_packing_keeps_the_order_of_files_of_unequal_size(spark, many_files, tmp_path):
+    docs = spark.range(0, 400, 1, 5).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, id), x -> hash(id, x))) AS text")
+    docs.write.option("parquet.block.size", "50000").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert [r.doc_id for r in stored.select("doc_id").collect()] != list(range(400))
+    assert packed_order(corpus_pipeline.packed(spark, stored, "").collect()) == list(range(400))
+
+
+def test_run_packs_in_the_order_of_the_curriculum(spark, folder, many_files, monkeypatch):
+    stages = {}
+
+    def recorded(df, name, keep=corpus_pipeline.written):
+        stages[name] = keep(df, name)
+        return stages[name]
+
+    monkeypatch.setattr(corpus_pipeline, "written", recorded)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = packed_order(corpus_pipeline.run(spark, folder).collect())
+    stored = stages["mixture"].select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert len({r.file_name for r in stored}) > 1
+    assert got == [r.doc_id for r in sorted(stored, key=lambda r: (r.file_name, r.row_index))]

@@ -1,64 +1,64 @@
-"""N-gram Jaccard join by filters under several global token orders.
+"""N-gram Jaccard join by filters under three global token orders.
 
 A document's set holds its distinct shingles of five lower-cased words.  Two
 documents link when the Jaccard similarity of their sets is at least the
 threshold, three quarters unless stated.  The join is exact.
 
-1. Sets are hashed; rows with equal sets form a class, of which one unit takes
-   part in the join.  A third of all rows may be copies: they are combined
-   before the shuffle.
-2. First order: rare shingles first.  A fixed share of all shingles, chosen by
-   hash, stands at the front, sorted by the number of units that hold them;
-   the rest follow by hash.  Two linked units share a shingle among the first
-   n - ceil(t n) + 1 of each, so only these are joined.  Counts are combined
-   before the shuffle, shingles of one unit drop out by a join whose large side
-   can be split, and very common shingles hardly ever reach a prefix.
-3. Candidates.  In each shingle's group every unit is compared with the
-   group's smallest unit; sizes and positions bound the overlap inside the join.
-   A verified link puts a unit into the cluster of that smallest unit, at a known
-   distance.  Pairs in one component need no test.  Where a group holds several
-   components their clusters' centres are compared; as 1 - Jaccard is a metric,
-   the distance of two centres less the members' distances to them refutes
-   nearly all other pairs, as do sketches of the sets' parities, which bound the
-   difference of two sets from below; only the rest is verified one by one.  So a
-   group of near copies is never expanded into its pairs.
-4. Second and third order: the hash ascending and descending.  A pair must
-   share a shingle in the prefixes of these orders too, before its sets are
-   counted in full.
-5. Components of the verified links give each document's component_id.
+1. Sets are hashed; rows with equal sets form a class, one unit of the join.
+   A third of all rows may be copies: they are combined before the shuffle.
+2. Three global orders.  Each puts its own share of all shingles, chosen by
+   hash (``SEGMENTS``), in front, rare ones first; the rest follow by hash.  Two
+   linked units share a shingle among the first n - ceil(t n) + 1 of each under
+   every order.  The orders are applied one after the other, each to the units
+   that the ones before have left: a unit without a shared shingle in its prefix,
+   or with too many shingles that no other unit holds, is out.  Counts are
+   combined before the shuffle and joined with a large side that can be split.
+3. Candidates share a shingle in the prefixes of the first order and a bit in the
+   bitmaps of their prefixes under the second and the third, and sizes and places
+   allow the overlap.  What one unit holds alone, and the parities of the shared
+   shingles in hash cells (a sketch), bound the difference of two sets from below.
+   All of it is decided inside the join, before a set is fetched.
+4. In each shingle's group the unit with the fewest own shingles, the least
+   edited, is the centre: the others are compared with it (a star), and verified
+   links are closed to components.  Then only units outside the centre's
+   component are compared with the group, under the same conditions, which
+   leave hardly a pair that is no link.  So a group of near copies is never
+   expanded into its pairs.
+5. Components of the verified links; a component's id is the smallest doc_id of
+   its rows.
+
+Units are numbered by stored row numbers; doc_id is data and may be any number.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing, component_id is their own id; texts with fewer than five words have one
-shingle, of all their words; a null doc_id takes part and has component_id null
-unless it is linked to a row with an id; rows that share an id stand for one
-document, of whose texts the smallest is compared (ids from 2**62 on are
-reserved); an empty table gives no rows.
-Only the id and text columns are read.
+shingle, of all their words; a null doc_id takes part, and component_id is null
+if no row of the component has an id; rows that share an id are compared each
+by its own text; an empty table gives no rows.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import forget, ship, tidy, written
 from ._text import in_steps, shingle_set, utf8_arrays
 from .components import components
 
-#: Of ten shingles, so many stand at the front of the first order.  It must exceed 1 - threshold by a little.
-FRONT_TENTHS = 3
-_NO_ID = 1 << 62
-#: Words of 64 bits in a set's sketch, the parities of its shingles by hash.
+#: The orders' fronts: shingles whose hash, divided by ten, leaves a rest in [from, to).  The first must exceed 1 - threshold by a little.
+SEGMENTS = ((0, 3), (3, 6), (6, 10))
+#: Words of 64 bits in a set's sketch (the parities of its shared shingles by hash cell) and in the bitmap of a prefix.
 SKETCH = 8
-
-
-def _unit(doc_id: int | None, key: bytes) -> int:
-    return doc_id if doc_id is not None else _NO_ID + (int.from_bytes(key[:8], "little") >> 2)
+BITMAP = 2
+#: In the verification a centre's set is sent once for about so many pairs.
+PAIRS = 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -66,248 +66,299 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _prefix(percent: int) -> Column:
+    return F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+
+
 def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in 64 * ``SKETCH`` hash cells; two sets differ in at least as many shingles as their sketches in bits."""
-    cells = 64 * SKETCH
-    bits = np.bincount(((tokens >> np.uint64(40)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)).view(np.int64)))
+
+
+def _in_segment(tokens: np.ndarray, k: int) -> np.ndarray:
+    rest = tokens % np.uint64(10)
+    return (rest >= SEGMENTS[k][0]) & (rest < SEGMENTS[k][1])
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def shingle_rows(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, unit, n, key of every row, and front: the shingles of which the prefix in the first order consists, ``ahead`` of them from the front of the order."""
+    """doc_id, mark (of the text), row (a number), n, key (of the set) of every row, and front: the shingles of which the prefix in the first order consists, ``ahead`` of them from the front of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in in_steps(batch, 1000):
-                ids, units, counts, keys, fronts, aheads, sketches = part.column(0).to_pylist(), [], [], [], [], [], []
-                for doc_id, raw in zip(ids, utf8_arrays(part.column(1)), strict=True):
+                counts, keys, fronts, aheads = [], [], [], []
+                for raw in utf8_arrays(part.column(1)):
                     tokens = shingle_set(raw, size)
-                    key = _key(tokens)
-                    ahead = tokens % np.uint64(10) < FRONT_TENTHS
+                    ahead = _in_segment(tokens, 0)
                     front = tokens[ahead]
                     aheads.append(len(front))
                     lack = prefix_length(len(tokens), percent) - len(front)
-                    if lack > 0:
-                        front = np.concatenate([front, tokens[~ahead][:lack]])
-                    units.append(_unit(doc_id, key))
+                    fronts.append(np.concatenate([front, tokens[~ahead][:lack]]) if lack > 0 else front)
                     counts.append(len(tokens))
-                    keys.append(key)
-                    sketches.append(sketch(tokens))
-                    fronts.append(front)
-                offsets = np.zeros(len(fronts) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in fronts], out=offsets[1:])
-                values = np.concatenate(fronts) if fronts else np.zeros(0, dtype=np.uint64)
-                bits = np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64)
-                fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(bits))
+                    keys.append(_key(tokens))
+                numbers = pa.array(np.arange(row, row + len(keys), dtype=np.int64))
+                row += len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(units, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(aheads, pa.int64()), fixed, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
-                    names=["doc_id", "unit", "n", "key", "ahead", "bits", "front"],
+                    [part.column(0), part.column(2), numbers, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(aheads, pa.int64()), _lists(fronts)],
+                    names=["doc_id", "mark", "row", "n", "key", "ahead", "front"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, n long, key binary, ahead long, bits array<long>, front array<long>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark long, row long, n long, key binary, ahead long, front array<long>")
 
 
-def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """token, unit, n, at: the shared shingles in each unit's prefix, with their place in the first order."""
-    spread = classes.select("unit", "n", "ahead", F.explode("front").alias("token"))
-    counts = classes.select(F.explode("front").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Remainder of the unsigned hash by ten; 2**64 leaves 6.
-    remainder = F.pmod(F.pmod(F.col("token"), F.lit(10)) + F.when(F.col("token") < 0, 6).otherwise(0), F.lit(10))
-    shared = spread.join(counts, "token").withColumn("back", (remainder >= FRONT_TENTHS).cast("int"))
-    order = F.when(F.col("back") == 0, F.col("df")).otherwise(F.col("token").bitwiseXOR(F.lit(-(1 << 63))))
-    own = Window.partitionBy("unit")
-    ranked = shared.withColumn("held", F.sum(1 - F.col("back")).over(own)).withColumn("nth", F.row_number().over(own.orderBy("back", order, "token")))
-    # Unshared shingles precede the shared ones at the front; behind it the place is a lower bound, which keeps the overlap's bound valid.
-    at = F.col("ahead") + F.col("nth") - F.col("held")
-    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    return ranked.where(at <= p).select("token", "unit", "n", at.alias("at"))
-
+# -- orders ----------------------------------------------------------------
 
-def _allowed(n1: F.Column, n2: F.Column, room1: F.Column, room2: F.Column, percent: int, low1: F.Column | None = None, low2: F.Column | None = None) -> F.Column:
-    """Whether sizes, and the shingles from a shared one on, the first that two units share, allow a link.
 
-    For clusters ``n`` and ``room`` are the largest values and ``low`` the smallest sizes.
-    """
-    low1, low2 = n1 if low1 is None else low1, n2 if low2 is None else low2
-    return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(low1, low2)) & (F.lit(100 + percent) * F.least(room1, room2) >= F.lit(percent) * (low1 + low2))
+def _rest() -> Column:
+    """Rest of the unsigned ``token`` divided by ten; 2**64 leaves 6."""
+    return F.pmod(F.pmod(F.col("token"), F.lit(10)) + F.when(F.col("token") < 0, 6).otherwise(0), F.lit(10))
 
 
-def _bounds(percent: int) -> F.Column:
-    return _allowed(F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.at") + 1, F.col("y.n") - F.col("y.at") + 1, percent)
+def _bits(cell: Column, words: int, name: str, how: str, when: Column | None = None) -> list[Column]:
+    """Aggregates of the bits ``cell`` in ``words`` words: parities (bit_xor) or unions (bit_or)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
+    here = lambda i: (F.floor(cell / 64) == i) if when is None else (F.floor(cell / 64) == i) & when
+    return [F.call_function(how, F.when(here(i), bit).otherwise(F.lit(0).cast("long"))).alias(f"{name}{i}") for i in range(words)]
 
 
-def _apart() -> F.Column:
-    """Least distance of x and y by their sketches: of sets that differ in h shingles, n and m large, it is 2 h / (n + m + h)."""
-    h = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0")))).cast("double")
-    return 2 * h / (F.col("x.size") + F.col("y.size") + h)
+def _sketch_words() -> list[Column]:
+    return _bits(F.pmod(F.shiftrightunsigned("token", 40), F.lit(64 * SKETCH)), SKETCH, "s", "bit_xor")
 
 
-def _distance(a: np.ndarray, b: np.ndarray, percent: int, exact: bool) -> float | None:
-    """1 - Jaccard; None, unless ``exact``, if the second or the third order shows that there is no link."""
-    p, q = prefix_length(len(a), percent), prefix_length(len(b), percent)
-    for left, right in () if exact else ((a[:p], b[:q]), (a[len(a) - p :], b[len(b) - q :])):
-        if not np.isin(left, right, assume_unique=True).any():
-            return None
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 1.0 - both / (len(a) + len(b) - both)
+def _first_order(classes: DataFrame, percent: int) -> DataFrame:
+    """token, unit, n, own, at, back: each unit's shared shingles with their places in the first order; ``own`` of its front shingles no other unit holds."""
+    spread = classes.select("unit", "n", "ahead", F.explode("front").alias("token"))
+    counts = written(spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    shared = spread.join(counts, "token").withColumn("back", (_rest() >= SEGMENTS[0][1]).cast("int"))
+    order = F.when(F.col("back") == 0, F.col("df")).otherwise(F.col("token").bitwiseXOR(F.lit(-(1 << 63))))
+    by_unit = Window.partitionBy("unit")
+    ranked = shared.withColumn("held", F.sum(1 - F.col("back")).over(by_unit)).withColumn("nth", F.row_number().over(by_unit.orderBy("back", order, "token")))
+    # Unshared shingles precede the shared ones at the front; behind it the place is a lower bound, which keeps the overlap's bound valid.
+    own = F.col("ahead") - F.col("held")
+    return ranked.select("token", "unit", "n", own.alias("own"), (own + F.col("nth")).alias("at"), "back")
 
 
-def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _grouped(prefixes: DataFrame, percent: int, room: Column) -> DataFrame:
+    """The rows of ``prefixes`` whose group holds another unit and whose ``room`` allows a link with the smallest set that can be."""
+    groups = written(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low")).where("k > 1").drop("k"), "groups")
+    least = F.greatest(F.col("low"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    return prefixes.join(groups, "token").where((100 + percent) * room >= percent * (F.col("n") + least)).drop("low")
 
 
-def _texts(units: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """unit, text of the given units."""
+def _sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """unit, n, k1, k2 (shingles at the front of the second and third order), tokens of the ``needed`` units (unit, doc_id, mark, key, members); and the stored table behind it."""
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            units = [x if x is not None else _unit(None, _key(shingle_set(raw, size))) for x, raw in zip(batch.column(0).to_pylist(), utf8_arrays(batch.column(1)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), batch.column(1)], names=["unit", "text"])
+            for part in in_steps(batch, 500):
+                at, sets = [], []
+                for i, (raw, key, unit) in enumerate(zip(utf8_arrays(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    tokens = shingle_set(raw, size)
+                    if unit not in seen and _key(tokens) == key:
+                        seen.add(unit)
+                        at.append(i)
+                        sets.append(tokens)
+                own = part.select(["unit", "members"]).take(pa.array(at, pa.int64()))
+                counts = [pa.array([int(f(x)) for x in sets], pa.int64()) for f in (len, lambda x: _in_segment(x, 1).sum(), lambda x: _in_segment(x, 2).sum())]
+                yield pa.RecordBatch.from_arrays([*own.columns, *counts, _lists(sets)], names=["unit", "members", "n", "k1", "k2", "tokens"])
+
+    d = _source(docs, id_col, text_col).withColumnRenamed("mark", "own_mark").withColumnRenamed("doc_id", "own_id")
+    found = d.join(needed, (F.col("own_mark") == F.col("mark")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("text", "key", "unit", "members")
+    sets = written(found.mapInArrow(run, "unit long, members long, n long, k1 long, k2 long, tokens array<long>"), "sets")
+    # Only rows that are repeated as they are can be found twice.
+    return sets.where("members = 1").unionByName(sets.where("members > 1").dropDuplicates(["unit"])).drop("members"), sets
+
+
+def _order(sets: DataFrame, which: int, percent: int) -> DataFrame:
+    """unit, own (front shingles that no other unit holds), the bitmap of its shared prefix (b0 ...) and the sketch of its shared front (s0 ...) under the second or third order."""
+    k, (low, high) = F.col(f"k{which}"), SEGMENTS[which]
+    spread = sets.select("unit", "n", k.alias("k"), F.explode("tokens").alias("token")).where((_rest() >= low) & (_rest() < high))
+    counts = written(spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    by_unit = Window.partitionBy("unit")
+    ranked = spread.join(counts, "token").withColumn("held", F.count(F.lit(1)).over(by_unit)).withColumn("nth", F.row_number().over(by_unit.orderBy("df", "token")))
+    inside = F.col("k") - F.col("held") + F.col("nth") <= _prefix(percent)
+    bitmap = _bits(F.pmod(F.shiftrightunsigned("token", 20), F.lit(64 * BITMAP)), BITMAP, "b", "bit_or", inside)
+    found = ranked.groupBy("unit").agg(F.first("held").alias("held"), *bitmap, *_sketch_words())
+    out = sets.select("unit", "n", k.alias("k")).join(found, "unit", "left")
+    zero = F.lit(0).cast("long")
+    # A front that is shorter than the prefix says nothing: all bits are set.
+    words = [F.when(F.col("k") < _prefix(percent), F.lit(-1).cast("long")).otherwise(F.coalesce(f"b{i}", zero)).alias(f"b{i}") for i in range(BITMAP)]
+    return out.select("unit", "n", (F.col("k") - F.coalesce("held", zero)).alias("own"), *words, *[F.coalesce(f"s{i}", zero).alias(f"s{i}") for i in range(SKETCH)])
+
+
+def _some(name: str) -> Column:
+    return reduce(Column.__or__, [F.col(f"{name}{i}") != 0 for i in range(BITMAP)])
+
+
+def _survivors(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """unit, n, own, own1 (of them outside the first order's front), bitmaps c and d, sketch s of the units that all three orders leave."""
+    can = F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(percent) * F.col("n")
+    first = ranked.groupBy("unit").agg(F.first("own").alias("own0"))
+    b = [f"b{i}" for i in range(BITMAP)]
+    s = [f"s{i}" for i in range(SKETCH)]
+    second = _order(sets, 1, percent).withColumnRenamed("own", "own1").join(first, "unit").withColumn("own", F.col("own0") + F.col("own1"))
+    second = written(second.where(can & _some("b")), "second")
+    third = _order(sets.join(second.select("unit"), "unit", "left_semi"), 2, percent)
+    third = third.select("unit", F.col("own").alias("own2"), *[F.col(x).alias(x.replace("b", "d")) for x in b], *[F.col(x).alias(x.replace("s", "t")) for x in s])
+    both = second.select("unit", "n", "own0", "own1", *[F.col(x).alias(x.replace("b", "c")) for x in b], *s).join(third, "unit")
+    both = both.withColumn("own", F.col("own0") + F.col("own1") + F.col("own2")).where(can & _some("d"))
+    front = ranked.where("back = 0").groupBy("unit").agg(*[c.alias(f"f{i}") for i, c in enumerate(_sketch_words())])
+    whole = both.join(front, "unit", "left")
+    words = [F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}")).bitwiseXOR(F.coalesce(f"f{i}", F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    out = written(whole.select("unit", "n", "own", (F.col("own1") + F.col("own2")).alias("own1"), *[f"{x}{i}" for x in "cd" for i in range(BITMAP)], *words), "survivors")
+    forget(second)
+    return out
+
+
+# -- candidates ------------------------------------------------------------
+
+
+def _fits(percent: int) -> Column:
+    """Whether sizes, places, bitmaps and sketches of x and y, who share ``token``, allow a link."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    size = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    room = F.lit(100 + percent) * F.least("x.room", "y.room") >= F.lit(percent) * (x("n") + y("n"))
+    common = [reduce(Column.__or__, [x(f"{b}{i}").bitwiseAND(y(f"{b}{i}")) != 0 for i in range(BITMAP)]) for b in "cd"]
+    differ = reduce(Column.__add__, [F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(SKETCH)])
+    near = F.lit(100 + percent) * (x("own") + y("own") + differ) <= F.lit(100 - percent) * (x("n") + y("n"))
+    return size & room & common[0] & common[1] & near
+
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(plain.mapInArrow(name, "unit long, text string").join(units, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text")), "texts")
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int, exact: bool = False) -> DataFrame:
-    """a, b, distance, linked: those of ``pairs`` (a, b) whose documents link, with ``exact`` all of them."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link.  A unit may be the ``a`` of very many: its pairs are dealt into parts."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            kept, distances, linked = [], [], []
-            a = batch.column(0).to_pylist()
-            for i, (left, right) in enumerate(zip(utf8_arrays(batch.column(2)), utf8_arrays(batch.column(3)), strict=True)):
-                if a[i] != last:
-                    last, tokens = a[i], shingle_set(left, size)
-                other = shingle_set(right, size)
-                d = _distance(tokens, other, percent, exact)
-                link = d is not None and _links(tokens, other, percent)
-                if link or exact:
-                    kept.append(i)
-                    distances.append(d)
-                    linked.append(link)
-            ab = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*ab.columns, pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
-
-    needed = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    texts = texts.join(needed, "unit", "left_semi")
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    links = written(both.mapInArrow(test, "a long, b long, distance double, linked boolean"), "verified")
-    tidy(pairs.sparkSession)
-    return links
-
-
-def _across(prefixes: DataFrame, sketches: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame | None:
-    """Links between components that share a shingle in their prefixes; None if there is nothing to test."""
-    near = links.groupBy(F.col("b").alias("unit")).agg(F.min(F.struct("distance", "a")).alias("own"))
-    centres = links.select(F.col("a").alias("unit")).distinct().withColumn("is_centre", F.lit(True))
-    named = labels.withColumnRenamed("node", "unit").join(near, "unit", "left").join(centres, "unit", "left")
-    alone = F.col("is_centre").isNotNull() | F.col("own").isNull()
-    named = named.select("unit", "label", F.when(alone, F.col("unit")).otherwise(F.col("own.a")).alias("centre"), F.when(alone, 0.0).otherwise(F.col("own.distance")).alias("radius"))
-    placed = prefixes.join(named, "unit", "left").select("token", "unit", "n", "at", F.coalesce("label", "unit").alias("label"), F.coalesce("centre", "unit").alias("centre"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    # Groups that hold several components, and of those the units outside the main one, that of the smallest unit.
-    main = placed.groupBy("token").agg(F.min(F.struct("unit", "label")).alias("s"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token", F.col("s.label").alias("main"))
-    grouped = written(placed.join(main, "token"), "groups")
-    clusters = grouped.groupBy("token", "centre", "label", "main").agg(F.min("n").alias("low"), F.max("n").alias("n"), F.max(F.col("n") - F.col("at") + 1).alias("room"), F.max("radius").alias("radius"))
-    clusters = clusters.join(sketches.withColumnRenamed("unit", "centre").withColumnRenamed("n", "size"), "centre")
-    limit = 1.0 - percent / 100 + 1e-9
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.centre") < F.col("y.centre"))
+            (left, l_at), (right, r_at) = ((np.asarray(c.flatten()), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (batch.column(2), batch.column(3)))
+            kept = [i for i in range(batch.num_rows) if _links(left[l_at[i] : l_at[i + 1]], right[r_at[i] : r_at[i + 1]], percent)]
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+    left = sets.select(F.col("unit").alias("a"), F.col("tokens").alias("left")).join(parts, "a").select("a", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = sets.select(F.col("unit").alias("b"), F.col("tokens").alias("right"))
+    both = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right")
+    found = written(both.mapInArrow(test, "a long, b long"), "verified")
+    forget(parts)
+    return found
+
+
+def _across(placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of units of different components that share a shingle and fit; a group's main component, that of its centre, is not compared with itself."""
+    named = placed.join(labels.select(F.col("node").alias("unit"), "label"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
+    named = written(named, "named")
+    groups = named.groupBy("token").agg(F.min_by("label", F.struct("own", "unit")).alias("main"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token", "main")
+    grouped = written(named.join(groups, "token"), "grouped")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.unit") < F.col("y.unit"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once
-    fits = _allowed(F.col("x.n"), F.col("y.n"), F.col("x.room"), F.col("y.room"), percent, F.col("x.low"), F.col("y.low"))
-    pairs = clusters.where("label <> main").alias("x").join(clusters.alias("y"), apart & fits & (_apart() - F.col("x.radius") - F.col("y.radius") <= limit))
-    wide = F.greatest(F.col("x.radius") + F.col("y.radius"), F.lit(0.0))
-    pairs = pairs.select(F.least("x.centre", "y.centre").alias("a"), F.greatest("x.centre", "y.centre").alias("b"), wide.alias("wide")).groupBy("a", "b").agg(F.max("wide").alias("wide"))
-    pairs = written(pairs, "centres")
-    if not pairs.limit(1).count():
-        return None
-    measured = verify(pairs.select("a", "b"), texts, percent, size, exact=True)
-    found = measured.where("linked")
-    close = written(measured.join(pairs.where("wide > 0"), ["a", "b"]).where(F.col("distance") - F.col("wide") <= limit).select("a", "b", "distance"), "close")
-    if not close.limit(1).count():
-        return found
-    labels = written(components(links.select("a", "b").unionByName(found.select("a", "b"))), "labels")
-    fresh = labels.select(F.col("node").alias("unit"), F.col("label").alias("new"))
-    members = grouped.join(fresh, "unit", "left").withColumn("label", F.coalesce("new", "unit")).drop("new", "main")
-    members = members.join(sketches.withColumnRenamed("n", "size"), "unit")
-    # Of two clusters that of fewer rows is sent to the other, which stays as it is.
-    rows = members.groupBy("centre").agg(F.count(F.lit(1)).alias("k"))
-    sized = close.join(rows.toDF("a", "ka"), "a").join(rows.toDF("b", "kb"), "b")
-    small = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
-    sides = sized.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("other"), "distance")
-    left = members.join(sides, "centre")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.centre")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.distance") - F.col("x.radius") - F.col("y.radius") <= limit)
-    rest = left.alias("x").join(members.alias("y"), meet & _bounds(percent) & (_apart() <= limit)).select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b")).distinct()
-    rest = written(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    if rest.limit(1).count():
-        found = found.unionByName(verify(rest, texts, percent, size))
+    pairs = grouped.where("label <> main").alias("x").join(grouped.alias("y"), apart & _fits(percent))
+    x_first = (F.col("x.own") < F.col("y.own")) | ((F.col("x.own") == F.col("y.own")) & (F.col("x.unit") < F.col("y.unit")))
+    pairs = written(pairs.select(F.when(x_first, F.col("x.unit")).otherwise(F.col("y.unit")).alias("a"), F.when(x_first, F.col("y.unit")).otherwise(F.col("x.unit")).alias("b")).distinct(), "candidates")
+    forget(named)
     forget(grouped)
-    return found
+    return pairs
 
 
-def join(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, and n_verified: links verified for its class, which span the component but are not all of its links."""
-    if 10 * FRONT_TENTHS < 100 - percent:
+def linked(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, key), the component of each class (key, root), and the verified links (a, b) of units, which span the components."""
+    if 10 * (100 - percent) >= 100 * SEGMENTS[0][1]:
         raise ValueError("the front of the first order is too short for this threshold")
     spark = docs.sparkSession
     ship(spark)
     rows = written(shingle_rows(docs, percent, size, id_col, text_col), "shingles")
-    live = rows.where("n > 0")
-    classes = written(live.groupBy("key").agg(F.min("unit").alias("unit"), F.first("n").alias("n"), F.first("ahead").alias("ahead"), F.first("bits").alias("bits"), F.min_by("front", "unit").alias("front")), "classes")
-    narrow = written(rows.select("doc_id", "unit", "n", "key"), "rows")
+    own = F.struct(F.col("row").alias("unit"), "doc_id", "mark")
+    classes = rows.where("n > 0").groupBy("key").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("ahead").alias("ahead"), F.min_by("front", "row").alias("front"))
+    classes = written(classes.select("key", "own.*", "members", "n", "ahead", "front"), "classes")
+    narrow = written(rows.select("doc_id", "mark", "n", "key"), "rows")
     forget(rows)
-    rows, live = narrow, narrow.where("n > 0")
-    tidy(spark)
-    prefixes = written(_prefixes(classes, percent), "prefixes")
-    sketches = written(classes.select("unit", "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]), "sketches")
+    rows = narrow
+    ranked = written(_first_order(classes, percent), "ranked")
+    units = written(classes.drop("front", "ahead", "n"), "units")
     forget(classes)
     tidy(spark)
 
-    first = prefixes.groupBy("token").agg(F.min(F.struct("unit", "n", "at")).alias("y"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("y.unit"), F.col("y.n"), F.col("y.at"))
-    star = first.alias("y").join(prefixes.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") != F.col("y.unit")) & _bounds(percent))
+    prefixes = written(_grouped(ranked.where(F.col("at") <= _prefix(percent)).select("token", "unit", "n", "at"), percent, F.col("n") - F.col("at") + 1), "prefixes")
+    needed = units.join(prefixes.select("unit").distinct(), "unit", "left_semi")
+    sets, stored = _sets(docs, needed, size, id_col, text_col)
+    info = _survivors(ranked, sets, percent)
+    forget(ranked)
+    tidy(spark)
+    placed = prefixes.drop("n").join(info, "unit").withColumn("room", F.col("n") - F.col("at") + 1 - F.col("own1")).drop("at", "own1")
+    placed = written(_grouped(placed, percent, F.col("room")), "placed")
+    forget(prefixes)
+
+    columns = [c for c in placed.columns if c not in ("token", "own", "unit")]
+    centre = placed.groupBy("token").agg(F.min(F.struct("own", "unit", *columns)).alias("y")).select("token", "y.*")
+    star = centre.alias("y").join(placed.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") != F.col("y.unit")) & _fits(percent))
     tried = written(star.select(F.col("y.unit").alias("a"), F.col("x.unit").alias("b")).distinct(), "candidates")
-    texts = _texts(prefixes.select("unit").distinct(), docs, size, id_col, text_col)
-    links = verify(tried, texts, percent, size)
-
-    labels = written(components(links.select("a", "b")), "labels")
-    more = _across(prefixes, sketches, links, labels, texts, percent, size)
-    if more is not None:
-        links = written(links.unionByName(more), "links")
-        labels = written(components(links.select("a", "b")), "labels")
-    for x in (prefixes, sketches, tried, texts):
+    links = verify(tried, sets, percent)
+    labels = written(components(links), "labels")
+
+    more = _across(placed, labels, percent).join(tried, ["a", "b"], "left_anti")
+    more = written(more, "candidates")
+    if more.limit(1).count():
+        links = written(links.unionByName(verify(more, sets, percent)), "links")
+        labels = written(components(links), "labels")
+    for x in (placed, tried, more, info, stored):
         forget(x)
     tidy(spark)
+    roots = units.join(labels.withColumnRenamed("node", "unit"), "unit", "left").select("key", "unit", F.coalesce("label", "unit").alias("root"))
+    return rows, written(roots, "roots"), links
+
 
-    units = live.groupBy("key").agg(F.min("unit").alias("unit")).join(labels.withColumnRenamed("node", "unit"), "unit", "left")
+def join(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, and n_verified: links verified for its class, which span the component but are not all of its links."""
+    rows, roots, links = linked(docs, percent, size, id_col, text_col)
+    # Copies are combined by class first, so that neither a class nor a component is gathered in one task.
+    low = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).join(roots, "key")
+    ids = low.groupBy("root").agg(F.min("low").alias("component_id"))
     degree = links.select(F.col("a").alias("unit")).union(links.select("b")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_verified"))
-    named = units.join(degree, "unit", "left").select("key", F.coalesce("label", "unit").alias("label"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
-    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
-    label = F.when(F.col("label") < _NO_ID, F.col("label"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(label).alias("component_id"), F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_verified")).cast("long").alias("n_verified"))
+    named = written(roots.join(ids, "root").join(degree, "unit", "left").select("key", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified")), "named")
+    out = rows.join(named, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"))
 
 
 def keep_first(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, in its own columns: the row whose id is the component's.
+    """One document of each component, in its own columns: the row with the smallest id, a row without an id only where no other is.
 
-    Repeated rows of that id are copies of one document, of which one stays;
-    rows without an id, and all without a word, are in no group and stay.
+    Of rows that agree in id and text one stays; rows without a word are in no
+    group and all stay.
     """
-    groups = join(docs, percent, size, id_col, text_col)
-    first = groups.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct()
-    wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
-    alone = wordless | F.col(id_col).isNull()
-    kept = docs.where(~alone).join(first, F.col(id_col) == F.col("__first_id"), "left_semi")
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("__repeated_id"))
-    # Only ids that occur more than once need a comparison of their rows.
-    marked = kept.join(repeated, F.col(id_col) == F.col("__repeated_id"), "left")
-    once = marked.where("__repeated_id IS NULL").select(*docs.columns)
-    twice = marked.where("__repeated_id IS NOT NULL").groupBy("__repeated_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(twice).unionByName(docs.where(alone))
+    rows, roots, _ = linked(docs, percent, size, id_col, text_col)
+    live = rows.where("n > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    by_class = live.groupBy("key").agg(least.alias("first")).join(roots, "key")
+    first = written(by_class.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark"), "first")
+    repeated = live.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    twice = (F.col("f.mark") == F.col("r.mark")) & F.col("f.doc_id").eqNullSafe(F.col("r.doc_id"))
+    repeated = written(first.alias("f").join(repeated.alias("r"), twice, "left_semi"), "repeated")
+
+    text = F.col(text_col).cast("string")
+    own = (F.xxhash64(text) == F.col("__first_mark")) & F.col(id_col).cast("long").eqNullSafe(F.col("__first_id"))
+    names = lambda df: df.toDF("__first_id", "__first_mark")
+    wordless = F.coalesce(text, F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    kept = docs.where(~wordless).join(names(first), own, "left_semi")
+    # Only rows that occur more than once need a comparison.
+    once = kept.join(names(repeated), own, "left_anti")
+    twice = kept.join(names(repeated), own, "inner").groupBy("__first_id", "__first_mark").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return once.unionByName(twice).unionByName(docs.where(wordless))
 
 
 #: DuckDB SQL of ``join`` over ``documents``: all pairs that share a shingle are counted, links closed by recursion.

@@ -13,8 +13,9 @@ largest files first.  With ``by_file`` the parts are the runs of adjoining rows
 of a file instead of the partitions, and stand in the order of file name and
 row index, so that what was written range-sorted is packed in that order.
 
-Defined results: a null or empty text has the end token alone; a null doc_id
-is kept; repeated rows are packed as often as they occur; rows keep the order
+Defined results: a null or empty text has the end token alone; special tokens in
+a text have their own ids, as the library's defaults give them; texts with very
+long runs of one kind of character are encoded by the library; a null doc_id is kept; repeated rows are packed as often as they occur; rows keep the order
 of the input; an empty table has no pieces.  Only ``id_col`` and ``text_col``
 are read, so that other columns cannot clash.
 """
@@ -38,6 +39,8 @@ from ._shared import ship, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+#: Texts with a run of so many bytes of one kind (white space, digits, letters and all beyond ASCII, symbols) go to the library.
+LONG_RUN = 4096
 #: Offsets of at most so many parts (16 MB) are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_PARTS = 1_000_000
 
@@ -49,34 +52,51 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = 1
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
+
+
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` bytes of one kind follow each other."""
+    if 4 * len(text) < LONG_RUN:
+        return False
+    kinds = _KIND[np.frombuffer(text.encode(), dtype=np.uint8)]
+    ends = np.concatenate([[-1], np.flatnonzero(kinds[1:] != kinds[:-1]), [len(kinds) - 1]])
+    return bool((np.diff(ends) >= LONG_RUN).any())
+
+
 class Encoder:
     """Ids of a tokenizer file of the ``tokenizers`` library, as little-endian bytes.
 
     For byte-level BPE files whose ids follow the order of their merges, the
-    same merges run in ``tiktoken``, which is about seven times as fast; for
-    all other files the ``tokenizers`` library itself encodes.
+    same merges run in ``tiktoken``, which is about seven times as fast; all
+    other files, texts that hold an added token of the file, and texts with very
+    long runs, which ``tiktoken`` cannot take, are encoded by the ``tokenizers``
+    library itself.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], dtype=self.width).tobytes()
-        self.fast = self._ranked(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens", []) if x["content"]]
+        self.fast = self._ranked(spec)
 
     @staticmethod
-    def _ranked(path: str):
+    def _ranked(spec: dict):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or not pre.get("use_regex", True):
             return None
-        vocab, special = model["vocab"], {x["content"] for x in spec.get("added_tokens", []) if x.get("special")}
+        vocab, special = model["vocab"], {x["content"] for x in spec.get("added_tokens", [])}
         merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         ids = [vocab["".join(x)] for x in merges]
         if ids != sorted(ids) or (ids and ids[0] < 256):
@@ -86,7 +106,7 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _whole(self, text: str) -> bytes:
-        if self.fast is None:
+        if self.fast is None or any(x in text for x in self.added) or has_long_run(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
         return array("H" if self.width == "<u2" else "I", self.fast.encode_ordinary(text)).tobytes()
 

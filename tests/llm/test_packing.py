@@ -15,9 +15,7 @@ from loomstead.llm.queries import token_file
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(token_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(token_file())
 
 
 def test_fast_encoder_gives_the_librarys_ids(tokenizer, texts):
@@ -28,6 +26,22 @@ def test_fast_encoder_gives_the_librarys_ids(tokenizer, texts):
         assert np.frombuffer(encode([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_have_their_own_ids(tokenizer):
+    encode = packing.Encoder(token_file(), 1)
+    for text in ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "a <|endoftext|"]:
+        assert np.frombuffer(encode([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode(["hello <|endoftext|> world"])[0], "<u2").tolist() == [31373, 220, 50256, 995]
+
+
+@pytest.mark.parametrize("char", [" ", "a", "1", "#", "\n", "\u3000", "é", "\u00a0"])
+def test_very_long_runs(tokenizer, char):
+    encode = packing.Encoder(token_file(), 1)
+    for text in (f"some words {char * 100_000} and more", "x" + char * 4095 + "y"):
+        assert np.frombuffer(encode([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.has_long_run(char * 4096) and not packing.has_long_run("some words of a text " * 1000)
+    assert len(encode([char * 1_000_000])[0]) > 0
+
+
 def test_other_tokenizers_go_through_the_library():
     encode = packing.Encoder(token_file("word_bpe_49k.json"), 1)
     assert encode.fast is None

@@ -1,6 +1,6 @@
 """Nearest neighbours by a block matrix join over int8 tiles.
 
-Queries and candidates are dealt into blocks by a hash of their id; every pair
+Queries and candidates are dealt into blocks by a hash of id and vector; every pair
 of a query block and a candidate block is a tile.  A tile quantises its vectors
 to int8, takes all products in one matrix product (of whole numbers, exact in
 the floats it runs in) and so has each distance between quantised vectors.
@@ -21,8 +21,9 @@ row or column.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; vectors of another length than the query's are no
 candidates; a null id takes no part; ties go to the smaller id; rows that
-share an id are one vector if they are equal, else each is a candidate of its
-own; an empty table gives no rows.  Only the id and vector columns are read.
+share an id, equal or not, are one query and one candidate, whose distance is
+the least between any of their vectors, so that the k ranks of a query hold k
+different ids; an empty table gives no rows.  Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -70,19 +71,46 @@ def tile_distances(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
 
 
 def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest rows of one tile, ties to the smaller id."""
+    """(query, id, distance) of the k nearest ids of each row of ``queries`` in one tile, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
     low, high = tile_distances(queries, rows)
     own = query_ids[:, None] == ids[None, :]
     low[own] = high[own] = np.inf
-    kth = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(query_ids), np.inf)
+    kinds, first = np.unique(ids, return_index=True)
+    nearest_of = high if len(kinds) == len(ids) else np.minimum.reduceat(high, first, axis=1)
+    kth = np.partition(nearest_of, k - 1, axis=1)[:, k - 1] if len(kinds) > k else np.full(len(query_ids), np.inf)
     out: list[tuple[int, int, float]] = []
     for i, q in enumerate(query_ids):
         left = np.flatnonzero((low[i] <= kth[i]) & np.isfinite(low[i]))
         exact = np.sqrt(np.add.accumulate((rows[left] - queries[i]) ** 2, axis=1)[:, -1])  # component by component, the same on every machine
-        out += [(int(q), c, d) for d, c in heapq.nsmallest(k, zip(exact.tolist(), ids[left].tolist(), strict=True))]
+        if len(kinds) == len(ids):
+            best = heapq.nsmallest(k, zip(exact.tolist(), ids[left].tolist(), strict=True))
+        else:
+            least: dict[int, float] = {}
+            for c, d in zip(ids[left].tolist(), exact.tolist(), strict=True):
+                least[c] = min(d, least.get(c, d))
+            best = heapq.nsmallest(k, ((d, c) for c, d in least.items()))
+        out += [(int(q), c, d) for d, c in best]
     return out
 
 
+def offer(heap: list[tuple[float, int]], held: dict[int, float], k: int, distance: float, c: int) -> None:
+    """Put a candidate into a query's heap of the ``k`` nearest, the farthest on top; ``held`` has the distances of those in it."""
+    before = held.get(c)
+    if before is not None:
+        if distance < before:
+            heap[heap.index((-before, -c))] = (-distance, -c)
+            heapq.heapify(heap)
+            held[c] = distance
+    elif len(heap) < k:
+        heapq.heappush(heap, (-distance, -c))
+        held[c] = distance
+    elif (-distance, -c) > heap[0]:
+        del held[-heapq.heapreplace(heap, (-distance, -c))[1]]
+        held[c] = distance
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks()
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, width)
@@ -109,7 +137,7 @@ def nearest(
     sizes = usable.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
     n_rows, n_queries = max(1, -(-sizes["n"] // tile_rows)), max(1, -(-sizes["q"] // tile_queries))
 
-    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n))
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id", "x"), F.lit(n))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = usable.select("id", "x", "width", block(n_rows, 1).alias("row_block"), numbers(n_queries).alias("query_block"))
     asked = usable.where("is_query").select("id", "x", "width", block(n_queries, 2).alias("query_block"), numbers(n_rows).alias("row_block"))
@@ -131,16 +159,13 @@ def nearest(
         def ranked(query: int, heap: list[tuple[float, int]]) -> list[tuple[int, int, int, float]]:
             return [(query, i, -c, -d) for i, (d, c) in enumerate(sorted(heap, reverse=True), 1)]
 
-        query, heap, out = None, [], []
+        query, heap, held, out = None, [], {}, []
         for batch in batches:
             for q, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if q != query:
                     out += ranked(query, heap)
-                    query, heap = q, []
-                if len(heap) < k:
-                    heapq.heappush(heap, (-d, -c))
-                elif (-d, -c) > heap[0]:
-                    heapq.heapreplace(heap, (-d, -c))
+                    query, heap, held = q, [], {}
+                offer(heap, held, k, d, c)
             if out:
                 yield _ranks(out)
                 out = []

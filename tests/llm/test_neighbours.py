@@ -10,10 +10,15 @@ from loomstead.llm import neighbours
 def brute(rows, k=10, is_query=lambda i: i % 100 == 0):
     good = [(i, np.array(x, dtype=np.float64)) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x) and any(x)]
     out = []
-    for q, x in good:
-        if is_query(q):
-            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), c) for c, y in good if c != q and len(y) == len(x))[:k]
-            out += [(q, n, c, pytest.approx(d)) for n, (d, c) in enumerate(near, 1)]
+    for q in sorted({i for i, _ in good if is_query(i)}):
+        least = {}
+        for i, x in good:
+            for c, y in good if i == q else ():
+                if c != q and len(y) == len(x):
+                    d = float(np.sqrt(((x - y) ** 2).sum()))
+                    least[c] = min(d, least.get(c, d))
+        near = sorted((d, c) for c, d in least.items())[:k]
+        out += [(q, n, c, pytest.approx(d)) for n, (d, c) in enumerate(near, 1)]
     return sorted(out, key=lambda r: r[:2])
 
 
@@ -58,7 +63,20 @@ def test_bounds_hold():
         assert (high - low).max() < 0.1 * true.max()
 
 
-def test_repeated_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [5.0, 5.0])]
-    out = sorted(tuple(r) for r in neighbours.nearest(vectors(spark, rows)).collect())
-    assert [(r[1], r[2]) for r in out] == [(1, 1), (2, 1), (3, 2)]
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_repeated_ids_are_one_query_and_one_candidate(spark, tile):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(150)]
+    rows += [rows[0], rows[0], rows[100], rows[7], rows[7]]  # repeated as they are
+    rows += [(100, [0.5, 0.5, 0.0, 0.0]), (100, [1.0, 2.0])]  # queries with several vectors
+    rows += [(9, (np.array(rows[0][1]) + 0.01 * j).tolist()) for j in range(20)] + [(300, [3.0, 4.0])]
+    out = sorted((tuple(r) for r in neighbours.nearest(vectors(spark, rows), tile_rows=tile, tile_queries=2).collect()), key=lambda r: r[:2])
+    assert out == brute(rows)
+    assert all(len({r[2] for r in out if r[0] == q}) == 10 for q in (0, 100))
+
+
+def test_heap_keeps_the_nearest_of_each_id():
+    heap, held = [], {}
+    for d, c in [(5.0, 1), (4.0, 2), (3.0, 1), (9.0, 3), (2.0, 3), (3.0, 0), (6.0, 2)]:
+        neighbours.offer(heap, held, 3, d, c)
+    assert sorted((-d, -c) for d, c in heap) == [(2.0, 3), (3.0, 0), (3.0, 1)] and held == {3: 2.0, 0: 3.0, 1: 3.0}

@@ -1,17 +1,27 @@
 """Main text of raw pages by line-block distribution.
 
-Markup is stripped to lines, one for each block.  Lines of menus, headers,
-footers, sidebars, notices, adverts, forms and comments, known by their tags
-or class names, are emptied.  The text lengths of the lines (link text does
-not count) are summed over a sliding window; where the sum rises above a
-threshold the text surges, where it falls to it again the text dives, and the
-lines between are kept.  On a page that marks its article, the distribution
-starts and ends with it and any text is above the threshold; elsewhere the
-span with the most text wins, with the lines of text and headings that adjoin it.
-
-Defined results: null, empty and markup-only pages give an empty text; every
-other column is passed through by name only (page_id, url), so that extra
-columns cannot clash; repeated rows give repeated results.
+One path for all pages.
+
+1. Markup is stripped to lines, one for each block.  Menus, headers, footers,
+   sidebars, notices, adverts, forms and comments, known by their tags or class
+   names, become empty lines, wherever they stand.
+2. Each line weighs its text: link text does not count, and on a page that marks
+   its article (``article`` or ``main``) lines outside of it weigh nothing while
+   inside of it link text counts too.
+3. The weights are summed over a sliding window.  The text surges where the sum
+   rises above a threshold, and from there reaches to the dive points on both
+   sides, where a whole window weighs nothing.  The threshold is ``THRESHOLD``, or
+   half of the page's highest sum where that is less, so that short articles count.
+4. The lines between are kept, of every span; lines that weigh nothing are cut
+   off a span's ends, unless they are headings.
+
+Defined results: null, empty and markup-only pages give an empty text; scripts,
+styles and the like end at their own end tag only, and reach to the next
+``body`` or ``article`` or the end where they have none; an element to be dropped
+that is never closed reaches to the next ``article`` or ``main``, or else covers
+its own line only; several articles are one text, in page order; every other
+column is passed through by name only (page_id, url), so that extra columns
+cannot clash; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -29,14 +39,16 @@ from ._shared import ship
 WINDOW = 3
 THRESHOLD = 60
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|head|textarea|select|option|object|canvas)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b|<article\b)|\Z)|<[!?][^>]*>", re.S | re.I)
+_OPAQUE = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe|head|textarea|select|option|object|canvas)\b[^>]*>|<[!?][^>]*>", re.I)
+_NEXT = re.compile(r"<body\b|<article\b", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_TOKEN = re.compile(r"[a-z0-9]+")
 
 _BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _DROPPED = frozenset("nav aside footer form menu button dialog title label input fieldset".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+#: Elements that end where the next block begins or the one around them ends.
+_OPEN_ENDED = frozenset("p li dd dt td th tr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT = frozenset(("article", "main"))
 _BOILERPLATE = frozenset(
@@ -44,27 +56,71 @@ _BOILERPLATE = frozenset(
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar comment comments disqus reply replies respond discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager copyright legal tags complementary contentinfo".split()
 )
+#: Parts that a class name may have besides words of boilerplate: site-footer, comment-list; but not no-sidebar.
+_QUALIFIERS = frozenset("site page main top bottom left right global primary secondary user reader post article entry list box area section wrapper container block bar item items link links slot unit text inner outer wrap row col form button".split())
+_PART = re.compile(r"[-_]+")
 
 
 def _boilerplate(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role names boilerplate: as a whole name, or in all of its parts but qualifiers."""
     if "=" not in attributes:
         return False
     for m in _NAMES.finditer(attributes):
-        tokens = set(_TOKEN.findall((m[1] or m[2] or m[3] or "").lower())) & _BOILERPLATE
-        if tokens and not (inside and tokens <= {"header", "masthead"}):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = {name} if name in _BOILERPLATE else set(_PART.split(name.strip("-_")))
+            found = words & _BOILERPLATE
+            if found and words - found <= _QUALIFIERS and not (inside and found <= {"header", "masthead"}):
+                return True
     return False
 
 
+def without_hidden(page: str) -> str:
+    """The page without comments, declarations, and elements whose content is no text."""
+    out, at, ends = [], 0, {}
+    while m := _OPAQUE.search(page, at):
+        out.append(page[at : m.start()])
+        name = m[0] if m[0] == "<!--" else (m[1] or "").lower()
+        if not name:
+            at = m.end()
+            continue
+        end = re.compile("-->") if name == "<!--" else re.compile(rf"</{name}\b[^>]*>", re.I)
+        close = None if ends.get(name) == -1 else end.search(page, m.end())
+        if close:
+            at = close.end()
+        else:  # nor is there an end for any later one
+            ends[name] = -1
+            rest = None if name == "<!--" or ends.get("<") == -1 else _NEXT.search(page, m.end())
+            if rest is None and name != "<!--":
+                ends["<"] = -1
+            at = rest.start() if rest else len(page)
+        out.append(" ")
+    out.append(page[at:])
+    return "".join(out)
+
+
+def _matches(tags: list[re.Match[str]]) -> dict[int, int]:
+    """For each start tag that has one, the number of its end tag; elements of one name nest."""
+    open_: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for i, m in enumerate(tags):
+        name = m[2].lower()
+        if not m[1]:
+            open_.setdefault(name, []).append(i)
+        elif open_.get(name):
+            out[open_[name].pop()] = i
+    return out
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """A page's lines: text, length without links, whether in a marked article, whether a heading."""
-    page = _HIDDEN.sub(" ", page)
+    page = without_hidden(page)
+    tags = list(_TAG.finditer(page))
+    ends = _matches(tags)
+    contents = [i for i, m in enumerate(tags) if not m[1] and m[2].lower() in _CONTENT]
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
-    linked = 0
-    in_link = inside = 0
+    linked = in_link = inside = next_content = at = 0
     heading = False
-    skip, depth = "", 0
 
     def flush() -> None:
         nonlocal linked
@@ -75,29 +131,38 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         text.clear()
         linked = 0
 
-    at = 0
-    for m in _TAG.finditer(page):
+    def dropped_to(i: int, name: str) -> int:
+        """The number of the first tag after the element that begins with tag ``i``."""
+        if name in _OPEN_ENDED:
+            j = i + 1
+            while j < len(tags) and tags[j][2].lower() not in _BLOCKS:
+                j += 1
+            return j + 1 if j < len(tags) and tags[j][1] and tags[j][2].lower() == name else j
+        if i in ends:
+            return ends[i] + 1
+        if next_content < len(contents):
+            return contents[next_content]
+        j = i + 1
+        while j < len(tags) and tags[j][2].lower() not in _BLOCKS:
+            j += 1
+        return j
+
+    i = 0
+    while i < len(tags):
+        m = tags[i]
         between, at = page[at : m.start()], m.end()
         closing, name = m[1], m[2].lower()
-        if not skip and between:
+        if between:
             text.append(between)
             if in_link:
                 linked += len(html.unescape(between).strip())
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-            elif not closing and name in _CONTENT:
-                skip = ""  # the skipped element was never closed
-            else:
-                continue
-            if name not in _CONTENT:
-                continue
+        while next_content < len(contents) and contents[next_content] <= i:
+            next_content += 1
         if name in _BLOCKS:
             flush()
         elif not closing and name == "img":
             text.append(" ")
+        i += 1
         if closing:
             if name == "a":
                 in_link = 0
@@ -105,65 +170,80 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 inside = max(0, inside - 1)
             elif name in _HEADINGS:
                 heading = False
-            continue
-        if name in _CONTENT:
-            inside += 1
+        elif name in _CONTENT:
+            if _boilerplate(m[3], True) and i - 1 in ends:
+                lines.append(("", 0, inside > 0, False))
+                i = ends[i - 1] + 1
+                at = tags[i - 1].end()
+            else:
+                inside += 1
         elif name not in _VOID and name not in ("body", "html") and (name in _DROPPED or (name == "header" and not inside) or _boilerplate(m[3], inside > 0)):
             flush()
             lines.append(("", 0, inside > 0, False))
-            skip, depth = name, 1
+            j = dropped_to(i - 1, name)
+            in_link, heading = 0, False
+            # Text after an end tag is the page's again; text before any other tag is still of the element.
+            at = tags[j - 1].end() if j > i and tags[j - 1][1] and (j - 1 == ends.get(i - 1) or name in _OPEN_ENDED) else tags[j].start() if j < len(tags) else len(page)
+            i = j
         elif name == "a":
             in_link = 1
         elif name in _HEADINGS:
             heading = True
         elif name == "p":
             in_link, heading = 0, False
-    if not skip:
-        text.append(page[at:])
+    text.append(page[at:])
     flush()
     return lines
 
 
-def spans(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Surge and dive points: runs of lines near which the windowed sums are above the threshold."""
-    half, out, start = window // 2, [], None
-    total = sum(lengths[: half + 1])
-    n = len(lengths)
+def weights(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """What each line weighs in the distribution."""
+    marked = any(x[2] and x[0] for x in lines)
+    return [(len(x[0]) if x[2] else 0) if marked else x[1] for x in lines]
+
+
+def sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The distribution: weights summed over the window around each line."""
+    half, n, out = window // 2, len(weights), []
+    total = sum(weights[:half])
     for i in range(n):
-        if total > threshold and start is None:
+        total += (weights[i + half] if i + half < n else 0) - (weights[i - half - 1] if i > half else 0)
+        out.append(total)
+    return out
+
+
+def spans(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """From dive point to dive point around each surge: runs of lines whose windows weigh something, one of them more than the threshold."""
+    found = sums(weights, window)
+    least = min(threshold, max(found, default=0) / 2)
+    out, start = [], None
+    for i, x in enumerate([*found, 0]):
+        if x and start is None:
             start = i
-        elif total <= threshold and start is not None:
-            out.append((start, i))
+        elif not x and start is not None:
+            if max(found[start:i]) > least:
+                out.append((start, i))
             start = None
-        total += (lengths[i + half + 1] if i + half + 1 < n else 0) - (lengths[i - half] if i >= half else 0)
-    if start is not None:
-        out.append((start, n))
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    """The main text of one page: its blocks in order, joined by a line feed."""
+def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD, marks: bool = True) -> str:
+    """The main text of one page: its blocks in order, joined by a line feed.  Without ``marks`` article and main count as any block."""
     if not page:
         return ""
     lines = lines_of(page)
-    marked = [x for x in lines if x[2]]
-    if marked:
-        kept = [i for a, b in spans([len(x[0]) for x in marked], window, 0) for i in range(a, b)]
-        return "\n".join(marked[i][0] for i in kept if marked[i][0])
-    lengths = [x[1] for x in lines]
-    found = spans(lengths, window, threshold)
-    if not found:
-        return ""
-    a, b = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
-    while a > 0 and (lengths[a - 1] or lines[a - 1][3]):
-        a -= 1
-    while b < len(lines) and lengths[b]:
-        b += 1
-    while a < b and not lengths[a] and not lines[a][3]:
-        a += 1
-    while b > a and not lengths[b - 1]:
-        b -= 1
-    return "\n".join(x[0] for x in lines[a:b] if x[0])
+    if not marks:
+        lines = [(x[0], x[1], False, x[3]) for x in lines]
+    marked = any(x[2] and x[0] for x in lines)
+    weight = weights(lines)
+    kept: list[str] = []
+    for a, b in spans(weight, window, threshold):
+        while a < b and not weight[a] and not (lines[a][3] and not marked):
+            a += 1
+        while b > a and not weight[b - 1]:
+            b -= 1
+        kept += [x[0] for x in lines[a:b] if x[0] and (x[2] or not marked)]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,11 +43,75 @@ def test_unclosed_menu_does_not_swallow_the_article():
     assert main_text(page(f"<nav><ul><li>menu<article><p>{LONG}</p></article>")) == LONG
 
 
-def test_spans_are_windows_above_the_threshold():
-    for lengths in ([], [5], [0, 0, 100, 0, 0, 0, 0, 50, 50], [100] * 5, [0] * 9):
-        flags = [sum(lengths[max(0, i - 1) : i + 2]) > 60 for i in range(len(lengths))]
-        got = [any(a <= i < b for a, b in spans(lengths, 3, 60)) for i in range(len(lengths))]
-        assert got == flags
+def test_script_ends_at_its_own_end_only():
+    html = page(f"<script>var t='<article>';var SECRET=1;</script><article><p>{LONG}</p></article>", head="")
+    assert main_text(html) == LONG
+    assert main_text(f"<html><head><title>T<body><p>{LONG}</p>") == LONG  # a head that is never closed
+
+
+@pytest.mark.parametrize("around", ["<div class='comments'><article><p>{}</p></article></div>", "<aside><article><h2>Card</h2><p>{}</p></article></aside>", "<article class='comment'><p>{}</p></article>", "<section id=comments><article>{}</article><article>{}</article></section>"])
+@pytest.mark.parametrize("body", ["<article><p>{}</p></article>", "<div><p>{}</p></div>"])
+def test_comments_and_cards_stay_out(around, body):
+    other = around.replace("{}", f"{LONG} by a reader")
+    assert main_text(page(body.replace("{}", LONG) + other)) == LONG
+    assert main_text(page(f"<article><p>{LONG}</p>{other}<p>{LONG} end</p></article>")) == f"{LONG}\n{LONG} end"
+
+
+def test_class_names_count_whole():
+    for name, there in [("layout no-sidebar", True), ("with-sidebar", True), ("sidebarless", True), ("add", True), ("sidebar", False), ("site-footer", False), ("comment-list", False), ("post ad-banner", False), ("cookie_notice", False)]:
+        assert main_text(page(f"<div class='{name}'><p>{LONG}</p></div>")) == (LONG if there else "")
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_adverts_do_not_split_an_article(tag):
+    ads = f"<div class='ad'>{LONG}</div><aside>{LONG}</aside><div class='newsletter'>{LONG}</div>"
+    html = page(f"{NAV}<{tag}><p>{LONG} one</p>{ads}<p>{LONG} two</p><p>{LONG} three</p></{tag}>{FOOT}")
+    assert main_text(html) == f"{LONG} one\n{LONG} two\n{LONG} three"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_short_articles_count(tag):
+    assert main_text(page(f"{NAV}<{tag}><h1>Hi</h1><p>Short.</p></{tag}>{FOOT}")) == "Hi\nShort."
+
+
+def distribution(weights, window, threshold):
+    """Lines between dive points with a surge, by the definition: every window is summed anew."""
+    n, half = len(weights), window // 2
+    total = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
+    least = min(threshold, max(total, default=0) / 2)
+    out = []
+    for i in range(n):
+        a = b = i
+        while total[i] and a > 0 and total[a - 1]:
+            a -= 1
+        while total[i] and b < n - 1 and total[b + 1]:
+            b += 1
+        out.append(total[i] > 0 and any(x > least for x in total[a : b + 1]))
+    return out
+
+
+def test_spans_against_every_window():
+    rng = random.Random(4)
+    cases = [[], [5], [0, 0, 100, 0, 0, 0, 0, 50, 50], [100] * 5, [0] * 9, [4, 0, 0, 0, 500]]
+    cases += [[rng.choice([0, 0, 0, 3, 20, 90]) for _ in range(rng.randrange(40))] for _ in range(300)]
+    for w in cases:
+        for window in (1, 3, 5):
+            got = [any(a <= i < b for a, b in spans(w, window, 60)) for i in range(len(w))]
+            assert got == distribution(w, window, 60)
+
+
+def test_whole_pages_against_every_window():
+    """Extraction by the definition, on whole pages of the tables; and the distribution finds the article without its tag."""
+    pages = [r.as_py() for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"]]
+    alone = 0
+    for html in pages:
+        lines = lines_of(html)
+        marked = any(x[2] and x[0] for x in lines)
+        weight = [(len(x[0]) if x[2] else 0) if marked else x[1] for x in lines]
+        inside = distribution(weight, 3, 60)
+        assert main_text(html).split("\n") == ([x[0] for x, w, k in zip(lines, weight, inside, strict=True) if k and w] or [""])
+        alone += main_text(html, marks=False) == main_text(html)
+    assert alone >= 0.95 * len(pages)
 
 
 def test_link_text_does_not_count():

@@ -24,26 +24,43 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 GRAMS = (3, 4, 5)
-SCALE = 10.0
+SCALE = 20.0
 EPOCHS = 60
-RATE = 8.0
+RATE = 2.0
 MAX_LABELLED = 1000
 MAX_RULES = 500
 
 #: (action, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-_WANTED_HOSTS = "news.city library.open blog.garden www.museum docs.python m.weather recipes.home wiki.history physics.school www.theatre books.river travel.notes science.daily www.thering m.tionsh blog.ththre ththon therer www.thonth m.ththed blog.tionble tiontion ththth therly".split()
-_UNWANTED_HOSTS = "casino-win www.casino-royal mega-casino free-bets www.free-bets best-bets-now ads-track m.ads-track click-ads-track spam-farm www.spam-farm link-spam cheap-pills blog.cheap-pills pills-online adult-x www.adult-x adult-cams win-casino-bonus bets-free track-ads farm-spam x-adult m.casino-win".split()
+#: Names of hosts in the labelled table.  None of them is taken from a table that is judged.
+_WANTED = (
+    "city-news open-library garden-blog art-museum python-docs weather-report home-recipes history-wiki school-physics river-books travel-notes daily-science stadt-zeitung kinder-buch "
+    "musik-schule garten-haus wetter-heute reise-bericht jardin-fleurs cuisine-maison livre-ouvert journal-ville histoire-art noticias-hoy cocina-casa libros-rio musica-viva viaje-mundo"
+).split()
+_UNWANTED = (
+    "royal-casino grand-casino casino-online casinos-club poker-palace slots-jackpot jackpot-city bet-now best-bets sports-betting bets-online lucky-bets spam-mail spam-blast seo-spam link-farm content-farm "
+    "farm-links discount-pills pills-shop diet-pills pharma-pills cheap-meds cheap-loans cheap-viagra ad-server ads-click popup-ads tracker-ads pixel-track click-track track-me adult-cams adult-chat adult-video "
+    "xxx-adult win-prizes win-big free-money free-spins free-porn"
+).split()
+_SYLLABLES = "ba be di do fa fi ga go ke ki la lo ma mi na no pe po ra ri sa so ta te va vu wi ze".split()
+
+
+def _made_up(n: int) -> list[str]:
+    """Names without meaning, which are wanted: two to four syllables each."""
+    k = len(_SYLLABLES)
+    return ["".join(_SYLLABLES[(5 * i + 11 * j + i * j) % k] for j in range(2 + i % 3)) for i in range(n)]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled table: (url, 1 if unwanted)."""
     rows = []
-    for label, hosts in ((0, _WANTED_HOSTS), (1, _UNWANTED_HOSTS)):
-        for i, host in enumerate(hosts):
-            for j, (zone, lang) in enumerate((("com", "en"), ("net", "de"), ("org", "fr"))):
-                rows.append((f"http{'s' * (i % 2)}://{host}.example.{zone}/{lang}/{37 * (i + 1) * (j + 1)}{('', '/', '.html')[(i + j) % 3]}", label))
+    zones = (("com", "en"), ("net", "de"), ("org", "fr"))
+    for label, names in ((0, _WANTED + _made_up(42)), (1, _UNWANTED)):
+        for i, name in enumerate(names):
+            for j in range(2 + label):
+                zone, lang = zones[(i + j) % 3]
+                rows.append((f"http{'s' * (i % 2)}://{('', 'www.', 'm.', 'blog.')[(i + 2 * j) % 4]}{name}.example.{zone}/{lang}/{37 * (i + 1) * (j + 1)}{('', '/', '.html')[(i + j) % 3]}", label))
     return rows
 
 
@@ -57,13 +74,17 @@ def path_of(url: Column) -> Column:
 
 def indices(host: Column, path: Column) -> Column:
     """The hashed n-grams of ``^host path$``, from 0."""
-    t = F.concat(F.lit("^"), host, path, F.lit("$"))
+    text = F.concat(F.lit("^"), host, path, F.lit("$"))
 
-    def grams(n: int) -> Column:
-        last = F.length(t) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column, n: int) -> Column:
+        last = F.size(chars) - n
+        places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        return F.when(last >= 0, F.transform(places, lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    return F.transform(F.concat(*map(grams, GRAMS)), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 4), 16, 10).cast("int") % DIMENSIONS)
+    # The characters are cut once and bound to a name, so that long URLs take linear time.
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    every = F.flatten(F.transform(F.array(chars), lambda c: F.concat(*[grams(c, n) for n in GRAMS])))
+    return F.transform(every, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 4), 16, 10).cast("int") % DIMENSIONS)
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", epochs: int = EPOCHS, rate: float = RATE) -> list[float]:

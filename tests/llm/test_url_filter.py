@@ -52,6 +52,15 @@ def test_the_model_tells_unseen_urls_apart(judged, spark):
     assert all((out[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(fresh))
 
 
+def test_hosts_that_the_labelled_table_does_not_hold(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = url_filter.judge(pages, rules=()).select("host", "verdict").collect()
+    assert not {parts(u)[0] for u, _ in url_filter.labelled_urls()} & {r.host for r in out}
+    unwanted = re.compile("casino-win|spam-farm|free-bets|cheap-pills|ads-track|adult-x")
+    bad, good = ([r.verdict for r in out if bool(unwanted.search(r.host)) == x] for x in (True, False))
+    assert bad.count("block") >= 0.9 * len(bad) > 0 and good.count("allow") >= 0.9 * len(good) > 0
+
+
 def test_large_tables_are_refused(spark):
     many = spark.range(url_filter.MAX_LABELLED + 1).selectExpr("concat('http://a/', id) AS url", "1 AS label")
     with pytest.raises(ValueError, match="labelled"):

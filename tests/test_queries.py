@@ -44,3 +44,21 @@ def test_half_of_the_queries_push_filters_down(spark):
     plan = ENTRIES["tpch_q6"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan
     assert "l_orderkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["tpch_q2", "tpch_q9", "tpch_q16"])
+def test_offers_are_cut_to_the_parts_below_their_aggregate(spark, name):
+    plan = ENTRIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "Aggregate [l_partkey" in line or "Aggregate [ps_partkey" in line)
+    below = []
+    for line in plan[at + 1 :]:
+        if depth(line) <= depth(plan[at]):
+            break
+        below.append(line)
+    assert any("Join LeftSemi" in line for line in below)
+
+
+def test_discount_bounds_reach_the_scan(spark):
+    plan = ENTRIES["tpch_q6"](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert "l_discount#" in plan and ">= 0.04)" in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .grouped import GroupedTable
@@ -106,6 +106,20 @@ class Table:
         """Compare a column with the one value of a table of one row and one column."""
         return self._new(self._df.where(predicate.shared(self.column(column), scalar.scalar())))
 
+    def filter_vector(self, column: str, predicate: Predicate, vector: Table, value: str) -> Table:
+        """Compare a column row by row with a vector: the ``value`` of the row of ``vector`` that has the same key.
+
+        Both tables need a key; rows without a value are removed, and a key that
+        occurs twice in the vector is an error when the join runs.
+        """
+        if self.key is None or vector.key is None:
+            raise KeyError("both tables need a key")
+        twice = F.raise_error(F.concat(F.lit("a key occurs twice: "), F.col("__k").cast("string")))
+        values = vector.df.groupBy(vector.column(vector.key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.first(vector.column(value)).alias("__v"))
+        values = values.where(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(True)).drop("__n")
+        both = self._df.join(values, self.key_column() == F.col("__k"))
+        return self._new(both.where(predicate.shared(self.column(column), "__v")).select(*[self.column(c) for c in self.columns]))
+
     def filter_by(self, condition: Column) -> Table:
         """Rows for which a composed condition holds."""
         return self._new(self._df.where(condition))
@@ -129,9 +143,12 @@ class Table:
             raise ValueError(f"columns on both sides: {sorted(clash)}")
         left = self._df
         if expect_unique_left:
-            twice = F.raise_error(F.concat(F.lit("a left key occurs twice: "), F.to_json(F.struct(*left_keys))))
-            rows = left.groupBy(*left_keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest_left])
-            left = rows.where(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(True)).drop("__n")
+            # The keys alone are counted; the columns are not shuffled for it.
+            named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(left_keys)]
+            twice = F.raise_error(F.concat(F.lit("a left key occurs twice: "), F.to_json(F.struct(*[f"__k{i}" for i in range(len(left_keys))]))))
+            counts = left.select(*named).groupBy(*[f"__k{i}" for i in range(len(left_keys))]).agg(F.count(F.lit(1)).alias("__n"))
+            once = counts.where(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(True)).drop("__n")
+            left = left.join(once, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(left_keys)], "left_semi")
         a = left.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(left_keys)], *rest_left)
         b = right._df
         condition = [F.col(f"__l{i}") == b[k] for i, k in enumerate(right_keys)]
@@ -145,6 +162,14 @@ class Table:
         """Rows of this table without a match."""
         return self._half(left_key, right_key, right, "left_anti")
 
+    def member_flag(self, left_key: str, right_key: str, right: Table, name: str) -> Table:
+        """All rows of this table, with 1 in column ``name`` where there is a match and else 0."""
+        if name in self.columns:
+            raise ValueError(f"there is a column {name!r} already")
+        keys = right._df.select(F.col(right_key).alias("__r")).distinct()
+        both = self._df.join(keys, self.column(left_key) == F.col("__r"), "left")
+        return self._new(both.select(*[self.column(c) for c in self.columns], F.col("__r").isNotNull().cast("bigint").alias(name)))
+
     def _half(self, left_key: str, right_key: str, right: Table, how: str) -> Table:
         keys = right._df.select(F.col(right_key).alias("__r"))
         return self._new(self._df.join(keys, self.column(left_key) == F.col("__r"), how))
@@ -170,6 +195,22 @@ class Table:
         """One row of aggregates over all rows."""
         return Table(self._df.agg(*[c.alias(n) for n, c in aggregates.items()]))
 
+    # -- windows -----------------------------------------------------------
+
+    def _window(self, partition_by: tuple[str, ...], what: str) -> WindowSpec:
+        """Rows in the table's order, within groups; a window over the whole table runs in one task."""
+        self._ordered(what)
+        return Window.partitionBy(*(self.column(c) for c in partition_by) if partition_by else (F.lit(0),)).orderBy(*self._sort())
+
+    def running_sum(self, column: str, name: str, *partition_by: str) -> Table:
+        """The sum of a column up to each row, in the table's order."""
+        own = self._window(partition_by, "running_sum").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self.insert_column(name, F.sum(self.column(column)).over(own))
+
+    def lead(self, column: str, name: str, *partition_by: str, offset: int = 1) -> Table:
+        """A column's value ``offset`` rows further on in the table's order; null where there is none."""
+        return self.insert_column(name, F.lead(self.column(column), offset).over(self._window(partition_by, "lead")))
+
     # -- order -------------------------------------------------------------
 
     def order_by(self, column: str, ascending: bool = True) -> Table:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.functions.fixed import cents, discounted, idiv, mux, percent
 from loomstead.operators import Predicate, Table
 from loomstead.operators.predicate import all_of, any_of, as_bit, is_in, negative
+from loomstead.sources.synthetic import RANGES, bounds, synthetic
 from loomstead.sources.tables import Tables, generate, primary_key
 
 from .registry import Registry
@@ -56,6 +59,14 @@ def filter_by_scalar(t: Tables) -> DataFrame:
     return line.filter_scalar("price", Predicate.GREATER, line.aggregate(m=idiv(F.sum("price"), F.count(F.lit(1)))).df).project("l_orderkey", "price").df
 
 
+@query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders JOIN (SELECT l_orderkey, SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE CAST(round(o_totalprice * 100) AS BIGINT) > s")
+def filter_by_vector(t: Tables) -> DataFrame:
+    """Orders above the sum of their own lines: one value for each row."""
+    orders = Table(t.orders.select("o_orderkey", cents("o_totalprice").alias("total")), "o_orderkey")
+    sums = Table(t.lineitem.groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("s")), "l_orderkey")
+    return orders.filter_vector("total", Predicate.GREATER, sums, "s").df
+
+
 @query(f"WITH {LINE} SELECT l_orderkey, qty, disc FROM line WHERE (qty < 5 OR qty > 45) AND NOT disc = 3 AND l_returnflag IN ('A', 'N')")
 def filter_by_mask(t: Tables) -> DataFrame:
     line = _line(t)
@@ -95,11 +106,11 @@ def tail(t: Tables) -> DataFrame:
     return table.order_by("qty").order_by("l_suppkey").order_by("l_partkey").order_by("l_orderkey").order_by("price").tail(20).df
 
 
-@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS BIGINT) AS place FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 50")
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 def order_by_chain(t: Tables) -> DataFrame:
-    """The last call counts most."""
-    first = Table(t.orders.select("o_custkey", "o_orderkey")).order_by("o_orderkey").order_by("o_custkey", ascending=False).head(50).df
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("o_custkey"), "o_orderkey")).cast("bigint"))
+    """The last call counts most: every order's place among its customer's."""
+    rows = Table(t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", F.lit(1).cast("bigint").alias("one"))).order_by("o_orderkey").order_by("o_orderpriority", ascending=False)
+    return rows.running_sum("one", "place", "o_custkey").project("o_custkey", "o_orderkey", "place")._df
 
 
 @query(f"WITH {LINE} SELECT l_orderkey, l_partkey, l_suppkey, price FROM line")
@@ -142,6 +153,13 @@ def anti_join(t: Tables) -> DataFrame:
     return Table(t.orders).project("o_orderkey").anti_join("o_orderkey", "l_orderkey", _line(t).filter_public("l_returnflag", Predicate.EQUAL, "R")).df
 
 
+@query("SELECT c_custkey, CAST(c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS urgent FROM customer")
+def member_flag(t: Tables) -> DataFrame:
+    """Membership as a column."""
+    urgent = Table(t.orders).filter_public("o_orderpriority", Predicate.EQUAL, "1-URGENT")
+    return Table(t.customer.select("c_custkey")).member_flag("c_custkey", "o_custkey", urgent, "urgent").df
+
+
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-04-01') ON c_custkey = o_custkey")
 def left_join(t: Tables) -> DataFrame:
     orders = Table(t.orders.where(between("o_orderdate", "1996-01-01", "1996-04-01")).select("o_orderkey", "o_custkey"))
@@ -212,13 +230,19 @@ def having(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_id, CAST(SUM(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events")
 def prefix_sum(t: Tables) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.events.select("user_id", "event_id", F.sum(F.round(F.col("value") * 100).cast("bigint")).over(own).alias("running"))
+    events = Table(t.events.select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")))
+    return events.order_by("event_id").order_by("ts").running_sum("cents", "running", "user_id").project("user_id", "event_id", "running")._df
 
 
 @query("SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events")
 def next_row(t: Tables) -> DataFrame:
-    return t.events.select("user_id", "event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
+    return Table(t.events.select("user_id", "event_id", "ts")).order_by("event_id").order_by("ts").lead("event_id", "next", "user_id").project("user_id", "event_id", "next")._df
+
+
+@query("SELECT user_id, event_id, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS then FROM events")
+def row_after_next(t: Tables) -> DataFrame:
+    """Two rows on, the latest first."""
+    return Table(t.events.select("user_id", "event_id", "ts")).order_by("event_id").order_by("ts", ascending=False).lead("event_id", "then", "user_id", offset=2).project("user_id", "event_id", "then")._df
 
 
 @query(f"WITH {LINE} SELECT l_orderkey, price + qty AS a, price + 7 AS b, price - qty AS c, -price AS d, price * 3 AS e, price * qty AS f, price // 7 AS g, price // (qty + 1) AS h, -price // 7 AS i, -price % 7 AS j FROM line")
@@ -267,6 +291,37 @@ def generated_table(t: Tables) -> DataFrame:
     return made.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("a").between(3, 8) & F.col("b").between(1, 99)).alias("in_range"), F.count_distinct("k").alias("n_keys"))
 
 
+SCALE = 0.0005
+#: Rows at ``SCALE``.
+COUNTS = (
+    "('lineitem', 3000), ('orders', 750), ('customer', 75), ('part', 100), ('supplier', 5), ('partsupp', 400), ('nation', 25), ('region', 5), "
+    "('secrecy_r', 1000), ('secrecy_s', 1500), ('secrecy_t1', 1000), ('secrecy_t2', 500), ('secrecy_t3', 500), ('cohort', 250), ('diagnosis_comorbidity', 2500), "
+    "('diagnosis', 1500), ('medication', 1000), ('password', 2500), ('taxi', 2500), ('credit_score', 2500)"
+)
+
+
+@query(f"SELECT t AS name, CAST(n AS BIGINT) AS n, true AS in_range FROM (VALUES {COUNTS}) v(t, n)")
+def synthetic_tables(t: Tables) -> DataFrame:
+    """Every synthetic table: its rows, and whether all drawn columns keep to their ranges."""
+    made = {"l_extendedprice", "l_receiptdate"}
+    out = []
+    for name in RANGES:
+        drawn = {c: b for c in RANGES[name] if c not in made and (b := bounds(name, c, SCALE))}
+        ok = all_of(*[F.col(c).between(b.low, b.high - 1) for c, b in drawn.items()])
+        out.append(synthetic(t.spark, name, SCALE).df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.bool_and(ok).alias("in_range")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT 3000 AS n, 3000 AS prices, 3000 AS receipts, 75 AS codes")
+def synthetic_made_columns(t: Tables) -> DataFrame:
+    """Columns made of others agree with them."""
+    line, customer = synthetic(t.spark, "lineitem", SCALE).df, synthetic(t.spark, "customer", SCALE).df
+    price = F.col("l_extendedprice").between(90 * F.col("l_quantity"), 110 * F.col("l_quantity")) & (F.col("l_extendedprice") % F.col("l_quantity") == 0)
+    receipt = (F.col("l_receiptdate") - F.col("l_shipdate")).between(1, 29)
+    codes = customer.agg(F.count_if(F.col("c_cntrycode") == idiv("c_phone", 100_000)).cast("int").alias("codes"))
+    return line.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(price).cast("int").alias("prices"), F.count_if(receipt).cast("int").alias("receipts")).crossJoin(codes)
+
+
 @query(f"SELECT l_orderkey, CAST(SUM({NET}) AS BIGINT) AS net FROM lineitem GROUP BY 1")
 def fixed_point_net(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.sum(discounted()).alias("net"))

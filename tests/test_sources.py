@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from loomstead.operators import Predicate, Table
-from loomstead.sources import Tables, generate, load, save
+from loomstead.sources import Tables, generate, load, save, synthetic
+from loomstead.sources.synthetic import RANGES, bounds, row_count
 
 
 def test_save_and_load(spark, tmp_path):
@@ -37,3 +38,19 @@ def test_filters_and_joins_apply_to_a_stream(spark, tmp_path):
         assert sorted(map(tuple, spark.sql("SELECT * FROM joined").collect())) == [(2, "two"), (3, "three")]
     finally:
         query.stop()
+
+
+def test_synthetic_tables_are_reproducible(spark):
+    for name in RANGES:
+        a, b = synthetic(spark, name, 0.0001), synthetic(spark, name, 0.0001)
+        assert a.columns == list(RANGES[name]) and a.num_rows() == row_count(name, 0.0001)
+        assert a.df.exceptAll(b.df).count() == 0
+    other = synthetic(spark, "orders", 0.0001, seed=1)
+    assert other.df.exceptAll(synthetic(spark, "orders", 0.0001).df).count() > 0
+    assert synthetic(spark, "customer", 0.0001).key == "c_custkey" and synthetic(spark, "taxi", 0.0001).key is None
+
+
+def test_synthetic_bounds():
+    assert bounds("lineitem", "l_orderkey", 0.001) == (1, 1500) and bounds("diagnosis_comorbidity", "pid", 0.001) == (0, 1000)
+    assert bounds("secrecy_t1", "person", 1) == (0, 1414) and bounds("password", "pwd", 1) == (0, 100_000)
+    assert bounds("orders", "o_orderkey", 1) is None and bounds("customer", "c_name", 1) is None

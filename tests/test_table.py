@@ -125,3 +125,42 @@ def test_fixed_point(spark):
         spark.range(1).select(idiv(F.col("id"), F.col("id"))).collect()
     with pytest.raises(Exception, match="OVERFLOW"):
         spark.range(1).select(F.lit(2**62) * F.lit(4) + F.col("id")).collect()
+
+
+def test_running_sum_and_lead_follow_the_order(spark):
+    t = table(spark, "g k v", (1, 1, 5), (1, 2, 7), (1, 3, None), (2, 1, 4)).order_by("k")
+    assert values(t.running_sum("v", "s", "g").project("g", "k", "s")) == [(1, 1, 5), (1, 2, 12), (1, 3, 12), (2, 1, 4)]
+    down = t.order_by("k", ascending=False).lead("k", "next", "g").project("g", "k", "next")
+    assert sorted(map(tuple, down.open()), key=str) == sorted([(1, 3, 2), (1, 2, 1), (1, 1, None), (2, 1, None)], key=str)
+    assert [r.s for r in sorted(table(spark, "k v", (2, 1), (1, 3)).order_by("k").running_sum("v", "s").open())] == [3, 4]
+    with pytest.raises(ValueError, match="order_by"):
+        table(spark, "k", (1,)).lead("k", "n")
+
+
+def test_member_flag_keeps_every_row(spark):
+    left = table(spark, "k v", (1, 1), (2, 2), (2, 3), (None, 4))
+    right = table(spark, "k", (2,), (2,), (None,))
+    assert sorted((r.v, r.there) for r in left.member_flag("k", "k", right, "there").open()) == [(1, 0), (2, 1), (3, 1), (4, 0)]
+    with pytest.raises(ValueError, match="already"):
+        left.member_flag("k", "k", right, "v")
+
+
+def test_filter_by_a_vector(spark):
+    t = Table(table(spark, "k v", (1, 10), (2, 20), (3, 30), (4, 40)).df, "k")
+    vector = Table(table(spark, "k w", (1, 10), (2, 25), (3, 5)).df, "k")
+    assert values(t.filter_vector("v", Predicate.GREATER_OR_EQUAL, vector, "w")) == [(1, 10), (3, 30)]
+    assert values(t.filter_vector("v", Predicate.LESS, vector, "w")) == [(2, 20)]
+    with pytest.raises(Exception, match="a key occurs twice"):
+        t.filter_vector("v", Predicate.LESS, Table(table(spark, "k w", (1, 10), (1, 25)).df, "k"), "w").open()
+    with pytest.raises(KeyError):
+        t.filter_vector("v", Predicate.LESS, Table(vector.df), "w")
+
+
+def test_mask_and_printers(spark, capsys):
+    t = table(spark, "k v", (1, 10), (2, None))
+    assert Predicate.GREATER.open_mask(t.df, "v", 5) == [True, None]
+    assert Predicate.EQUAL.open_mask(t.df, F.col("k"), 2) == [False, True]
+    t.order_by("k").print_first_rows(1)
+    t.print_schema()
+    out = capsys.readouterr().out
+    assert "only showing top 1 row" in out and "|1  |10" in out and "v: long" in out

@@ -64,12 +64,22 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts[0::2], cuts[1::2]
 
 
+class SpanHasher:
+    """Hashes of spans of one text, from one pass over its bytes."""
+
+    def __init__(self, buf: np.ndarray) -> None:
+        _grow(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers[: len(buf)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span of bytes, equal for equal bytes anywhere."""
+        return mix64((self.sums[ends] - self.sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, equal for equal bytes anywhere."""
-    _grow(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers[: len(buf)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+    return SpanHasher(buf)(starts, ends)
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:

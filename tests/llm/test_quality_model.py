@@ -88,3 +88,14 @@ def test_keep_good_keeps_columns(labelled):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert len(ids ^ {i for i, y in truth.items() if y}) < 10
+
+
+def test_sparse_scores_are_the_dense_ones(texts):
+    rng = np.random.default_rng(2)
+    machine = qm.Machine(rng.normal(size=qm.WIDTH).astype(np.float32), (0.1 * rng.standard_normal((qm.WIDTH, qm.RANK))).astype(np.float32))
+    rows = [qm.features(None if r[1] is None else np.frombuffer(r[1].encode(), dtype=np.uint8), r[4]) for r in texts]
+    x = np.zeros((len(rows), qm.WIDTH), dtype=np.float32)
+    for i, (places, values) in enumerate(rows):
+        x[i, places] = values
+    assert machine.score_sparse(rows) == pytest.approx(machine.score(x), abs=1e-4)
+    assert machine.score_sparse([]).tolist() == []

@@ -6,9 +6,11 @@ distinct documents that hold a line are counted; lines in more documents than
 the limit are removed, and documents of which little remains are rejected.
 
 Copies must not count as evidence against each other: a document is counted by
-its content, not by its id, and a line is common only if the lines around it
-differ too, so that the copies of a page, exact or edited here and there, keep
-their lines while boilerplate that stands in many different pages goes.
+its content, not by its id, and its signs must differ too: two of its
+lower-cased three-word windows, those whose first words have the lowest and the highest digest.  Copies of a
+page that are edited here and there mostly share their signs and keep their lines;
+boilerplate of any number of lines stands in pages of different signs and goes,
+unless it is itself the sign at both ends of most of its pages.
 
 The counts are exact over all documents.  Every document sends each of its
 distinct lines once; equal lines of one content, and then of one host, are
@@ -23,7 +25,9 @@ Only the id, text and source columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ship, written
-from ._text import in_steps, lowered, span_hashes, utf8_arrays, window_hashes, word_spans
+from ._text import SpanHasher, in_steps, lowered, span_hashes, utf8_arrays, window_hashes, word_spans
 
 #: A line is common if more than this many contents of a host hold it ...
 MAX_DOCUMENTS = 20
-#: ... and at least this share of them have it between different lines.
-MIN_CONTEXTS = 0.5
+#: ... and signs of the one kind or the other are at least this share of as many.
+MIN_SIGNS = 0.5
 #: A document is depleted if less than this share of its words remains.
 MIN_REMAINING = 0.2
 
@@ -58,6 +62,9 @@ def repeated_words(words: np.ndarray, size: int = 5) -> int:
     windows = window_hashes(words, size)
     if len(windows) < 2:
         return 0
+    ordered = np.sort(windows)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, back, counts = np.unique(windows, return_inverse=True, return_counts=True)
     found = np.flatnonzero(counts[back] > 1)
     if not len(found):
@@ -68,59 +75,99 @@ def repeated_words(words: np.ndarray, size: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _line_numbers(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each byte position, the number of line feeds before it."""
-    return np.searchsorted(np.flatnonzero(buf == 10), at)
+def word_chars(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+    """Code points in the words; what lies between them is of single bytes."""
+    return int(((buf & 0xC0) != 0x80).sum()) - (len(buf) - int((ends - starts).sum()))
+
+
+def used_lines(buf: np.ndarray, starts: np.ndarray, hashes: SpanHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of the lines with a word: their numbers, first words and word counts; and how many equal an earlier one."""
+    feeds = np.flatnonzero(buf == 10)
+    number = np.searchsorted(feeds, starts)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])
+    used = number[first]
+    bounds = np.concatenate([[-1], feeds, [len(buf)]])
+    lines = hashes(bounds[used] + 1, bounds[used + 1])
+    return used, first, np.diff(np.concatenate([first, [len(starts)]])), len(lines) - len(np.unique(lines))
+
+
+def normal_lines(normal: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, in_line: np.ndarray) -> np.ndarray:
+    """Hashes of the lines of a normalised text: of their words in order."""
+    plain = span_hashes(normal, starts, ends)
+    place = np.arange(len(starts)) - np.repeat(first, in_line)
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(plain * (2 * place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first)
+
+
+def without_lines(text: str, gone: np.ndarray) -> str:
+    """A text without the lines whose normalised hashes are among ``gone``."""
+    buf = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts, ends = word_spans(buf)
+    used, first, in_line, _ = used_lines(buf, starts, SpanHasher(buf))
+    cut = set(used[np.isin(normal_lines(_NORMAL[buf], starts, ends, first, in_line), gone)].tolist())
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in cut)
+
+
+@lru_cache(maxsize=1 << 18)
+def _digest(word: bytes) -> bytes:
+    return hashlib.md5(word).digest()
+
+
+def signs_of(words: list[bytes], size: int = 3) -> tuple[int, int]:
+    """Hashes of two windows of ``size`` words: that whose first word has the lowest digest and that with the highest; of windows with equal first words the first in the order of their words.
+
+    Texts of fewer words have one window, of all their words.
+    """
+    heads = words[: max(1, len(words) - size + 1)]
+    kinds = set(heads)
+    ends = (min(kinds, key=_digest), max(kinds, key=_digest))
+    low, high = (b" ".join(min(words[i : i + size] for i, x in enumerate(heads) if x == end)) for end in ends)
+    return _hash(low), _hash(high)
+
+
+def _hash(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
-def measure(buf: np.ndarray | None) -> tuple[int, int, int, int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and each distinct normalised line's hash, context hash and words."""
-    nothing = (_EMPTY, _EMPTY, np.zeros(0, dtype=np.int64))
+def measure(buf: np.ndarray | None) -> tuple[int, int, int, int, int, tuple[np.ndarray, np.ndarray], tuple[int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; each distinct normalised line's hash and words; and the signs."""
+    nothing = (_EMPTY, np.zeros(0, dtype=np.int64)), (0, 0)
     if buf is None or not len(buf):
-        return 0, 0, 0, 0, 0, nothing
+        return 0, 0, 0, 0, 0, *nothing
     symbols = int(_SYMBOL[buf].sum())
     starts, ends = word_spans(buf)
     n = len(starts)
     if not n:
-        return 0, 0, symbols, 0, 0, nothing
-    lead = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    chars = int((lead[ends] - lead[starts]).sum())
-    words = span_hashes(buf, starts, ends)
-    # Lines with a word, as they are.
-    number = _line_numbers(buf, starts)
-    feeds = np.concatenate([[-1], np.flatnonzero(buf == 10), [len(buf)]])
-    used, first, in_line = np.unique(number, return_index=True, return_counts=True)
-    lines = span_hashes(buf, feeds[used] + 1, feeds[used + 1])
-    duplicates = len(lines) - len(np.unique(lines))
-    # The same lines, normalised: the hashes of their normalised words in order.
-    plain = span_hashes(_NORMAL[buf], starts, ends)
-    place = np.arange(n) - np.repeat(first, in_line)
-    with np.errstate(over="ignore"):
-        normal = np.add.reduceat(plain * (2 * place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first)
-    around = np.concatenate([[np.uint64(1)], normal[:-1]]) * np.uint64(0xBF58476D1CE4E5B9) ^ np.concatenate([normal[1:], [np.uint64(2)]]) * np.uint64(0x94D049BB133111EB)
-    kinds, at = np.unique(normal, return_index=True)
+        return 0, 0, symbols, 0, 0, *nothing
+    chars = word_chars(buf, starts, ends)
+    hashes = SpanHasher(buf)
+    used, first, in_line, duplicates = used_lines(buf, starts, hashes)
+    normal = normal_lines(_NORMAL[buf], starts, ends, first, in_line)
+    kinds = np.unique(normal)
     total = np.zeros(len(kinds), dtype=np.int64)
     np.add.at(total, np.searchsorted(kinds, normal), in_line)
-    return n, chars, symbols, duplicates, repeated_words(words), (kinds, around[at], total)
+    return n, chars, symbols, duplicates, repeated_words(hashes(starts, ends)), (kinds, total), signs_of(lowered(buf).tobytes().split())
 
 
-def _content(kinds: np.ndarray, words: np.ndarray) -> int:
-    """A document's content for counting: its distinct normalised lines."""
+def _content(kinds: np.ndarray, words: np.ndarray, signs: tuple[int, int]) -> int:
+    """A document's content for counting: its distinct normalised lines, and its signs."""
     with np.errstate(over="ignore"):
-        return int((kinds * (words.astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
+        lines = (kinds * (words.astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)
+        low, high = np.array(signs, dtype=np.int64).view(np.uint64)
+        return int(((lines * np.uint64(0x9E3779B97F4A7C15) + low) * np.uint64(0xBF58476D1CE4E5B9) + high).view(np.int64))
 
 
-_FIGURES = "host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<struct<line: long, around: long, words: long>>"
+_FIGURES = "host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, signs array<long>, lines array<struct<line: long, words: long>>"
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
-    """One row for each document: its id, or with ``carry`` all its columns as ``doc``; the base figures, host, content, and its distinct lines as (line, around, words).
+    """One row for each document: its id, or with ``carry`` all its columns as ``doc``; the base figures, host, content, signs, and its distinct lines as (line, words).
 
     ``row`` numbers the rows; it is stored with them, so that it stays the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"]
+        names = ["doc", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "signs", "lines"]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in in_steps(batch, 1000):
@@ -128,34 +175,36 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 lines = [x[5] for x in rows]
                 offsets = np.zeros(len(rows) + 1, dtype=np.int32)
                 np.cumsum([len(x[0]) for x in lines], out=offsets[1:])
-                line, around, words = (np.concatenate([x[i] for x in lines]) if lines else np.zeros(0, dtype=np.int64) for i in range(3))
-                items = pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(around.view(np.int64)), pa.array(words)], names=["line", "around", "words"])
+                line, words = (np.concatenate([x[i] for x in lines]) if lines else np.zeros(0, dtype=np.int64) for i in range(2))
+                items = pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(words)], names=["line", "words"])
                 figures = [pa.array([x[i] for x in rows], pa.int64()) for i in range(5)]
-                content = pa.array([_content(x[0], x[2]) for x in lines], pa.int64())
+                content = pa.array([_content(*x[5], x[6]) for x in rows], pa.int64())
+                signs = pa.array([x[6] for x in rows], pa.list_(pa.int64()))
                 numbers = pa.array(range(row, row + len(rows)), pa.int64())
                 row += len(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), numbers, *figures, content, pa.ListArray.from_arrays(pa.array(offsets), items)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), numbers, *figures, content, signs, pa.ListArray.from_arrays(pa.array(offsets), items)], names=names)
 
     own = F.struct("*") if carry else F.col(id_col).cast("long")
     kind = docs.schema.simpleString() if carry else "long"
     return docs.select(own.alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host")).mapInArrow(run, f"doc {kind}, {_FIGURES}")
 
 
-def common_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, min_contexts: float = MIN_CONTEXTS) -> DataFrame:
-    """host, line of the lines above the limits, with n_documents and n_contexts."""
-    spread = rows.select("host", "content", F.explode("lines").alias("l")).select("host", F.col("l.line").alias("line"), "content", F.col("l.around").alias("around"))
+def common_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, min_signs: float = MIN_SIGNS) -> DataFrame:
+    """host, line of the lines above the limits, with n_documents and n_signs."""
+    spread = rows.select("host", "content", "signs", F.explode("lines.line").alias("line"))
     # Copies of one content are one row here; what is left of a hot line is counted in parts.
-    contents = spread.groupBy("host", "line", "content").agg(F.min("around").alias("around"))
-    contexts = contents.groupBy("host", "line", "around").agg(F.count(F.lit(1)).alias("k"))
-    counted = contexts.groupBy("host", "line").agg(F.sum("k").alias("n_documents"), F.count(F.lit(1)).alias("n_contexts"))
-    return counted.where((F.col("n_documents") > max_documents) & (F.col("n_contexts") >= min_contexts * F.col("n_documents")))
+    each = spread.distinct().select("host", "line", F.posexplode("signs").alias("which", "sign"))
+    signs = each.groupBy("host", "line", "which", "sign").agg(F.count(F.lit(1)).alias("k"))
+    kinds = signs.groupBy("host", "line", "which").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    counted = kinds.groupBy("host", "line").agg(F.max("k").alias("n_documents"), F.max("n").alias("n_signs"))
+    return counted.where((F.col("n_documents") > max_documents) & (F.col("n_signs") >= min_signs * F.col("n_documents")))
 
 
-def _judged(docs: DataFrame, max_documents: int, min_contexts: float, min_remaining: float, id_col: str, text_col: str, host_col: str, carry: bool) -> DataFrame:
+def _judged(docs: DataFrame, max_documents: int, min_signs: float, min_remaining: float, id_col: str, text_col: str, host_col: str, carry: bool) -> DataFrame:
     """The rows of ``measures`` with base_failed, kept, n_removed and the hashes of their common lines."""
     ship(docs.sparkSession)
     rows = written(measures(docs, id_col, text_col, host_col, carry), "lines")
-    common = written(common_lines(rows, max_documents, min_contexts), "common")
+    common = written(common_lines(rows, max_documents, min_signs), "common")
     spread = rows.select("row", "host", F.explode("lines").alias("l")).select("row", F.col("host").alias("h"), F.col("l.line").alias("line"), F.col("l.words").alias("words"))
     found = spread.join(common.select("host", F.col("line").alias("own")), F.col("h").eqNullSafe(F.col("host")) & (F.col("line") == F.col("own")))
     removed = found.groupBy("row").agg(F.sum("words").alias("n_removed"), F.collect_list("line").alias("common"))
@@ -168,21 +217,21 @@ def _judged(docs: DataFrame, max_documents: int, min_contexts: float, min_remain
 def judge(
     docs: DataFrame,
     max_documents: int = MAX_DOCUMENTS,
-    min_contexts: float = MIN_CONTEXTS,
+    min_signs: float = MIN_SIGNS,
     min_remaining: float = MIN_REMAINING,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
 ) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, n_removed (words in removed lines) of every document."""
-    out = _judged(docs, max_documents, min_contexts, min_remaining, id_col, text_col, host_col, carry=False)
+    out = _judged(docs, max_documents, min_signs, min_remaining, id_col, text_col, host_col, carry=False)
     return out.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
 def clean(
     docs: DataFrame,
     max_documents: int = MAX_DOCUMENTS,
-    min_contexts: float = MIN_CONTEXTS,
+    min_signs: float = MIN_SIGNS,
     min_remaining: float = MIN_REMAINING,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -193,14 +242,13 @@ def clean(
 
     ``chars_col`` is set to the new length of the texts that changed.
     """
-    kept = _judged(docs, max_documents, min_contexts, min_remaining, id_col, text_col, host_col, carry=True).where("kept")
+    kept = _judged(docs, max_documents, min_signs, min_remaining, id_col, text_col, host_col, carry=True).where("kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, common in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = {x & 0xFFFFFFFFFFFFFFFF for x in common or ()}
-                texts.append("\n".join(x for x in text.split("\n") if line_hash(x) not in gone) if gone else text)
+                texts.append(without_lines(text, np.array(common, dtype=np.int64).view(np.uint64)) if common else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "cleaned"])
 
     both = kept.select("doc", F.col(f"doc.`{text_col}`").alias("text"), "common").mapInArrow(run, f"doc {docs.schema.simpleString()}, cleaned string")
@@ -215,12 +263,6 @@ def clean(
     return both.select(*columns)
 
 
-def line_hash(line: str) -> int | None:
-    """The hash by which ``measure`` knows a line; None for one without a word."""
-    kinds = measure(np.frombuffer(line.encode(), dtype=np.uint8))[5][0]
-    return int(kinds[0]) if len(kinds) else None
-
-
 #: DuckDB SQL of ``judge`` over ``documents``, with the limits above.
 SQL = r"""
 WITH lines AS (
@@ -229,13 +271,21 @@ WITH lines AS (
 used AS (
   SELECT *, len(w) AS n, array_to_string(list_transform(w, lambda x: regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g')), ' ') AS norm
   FROM lines WHERE len(w) > 0),
-spot AS (SELECT *, lag(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS prv, lead(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM used),
-per_line AS (SELECT doc_id, source, norm, SUM(n) AS n, arg_min(struct_pack(p := prv, x := nxt), pos) AS around FROM spot GROUP BY ALL),
+per_line AS (SELECT doc_id, source, norm, SUM(n) AS n FROM used GROUP BY ALL),
+wordy AS (
+  SELECT doc_id, string_split(translate(string_agg(array_to_string(w, ' '), ' ' ORDER BY pos), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS w
+  FROM used GROUP BY doc_id),
+heads AS (SELECT doc_id, w, list_transform(w[1:greatest(len(w) - 2, 1)], lambda x: md5(x)) AS h FROM wordy),
+ends AS (SELECT doc_id, w, h, list_min(h) AS lo, list_max(h) AS hi FROM heads),
+signs AS (
+  SELECT doc_id, list_min(list_transform(list_filter(range(1, len(h) + 1), lambda i: h[i] = lo), lambda i: w[i:i + 2])) AS low,
+         list_min(list_transform(list_filter(range(1, len(h) + 1), lambda i: h[i] = hi), lambda i: w[i:i + 2])) AS high
+  FROM ends),
 bodies AS (SELECT doc_id, list_sort(list(norm || ':' || n)) AS body FROM per_line GROUP BY doc_id),
-bodied AS (SELECT p.source, p.norm, b.body, MIN(p.around) AS around FROM per_line p JOIN bodies b USING (doc_id) GROUP BY ALL),
+bodied AS (SELECT DISTINCT p.source, p.norm, b.body, s.low, s.high FROM per_line p JOIN bodies b USING (doc_id) JOIN signs s USING (doc_id)),
 common AS (
   SELECT source, norm FROM bodied GROUP BY source, norm
-  HAVING COUNT(*) > 20 AND COUNT(DISTINCT around) >= 0.5 * COUNT(*)),
+  HAVING COUNT(*) > 20 AND greatest(COUNT(DISTINCT low), COUNT(DISTINCT high)) >= 0.5 * COUNT(*)),
 removed AS (SELECT p.doc_id, SUM(p.n) AS n FROM per_line p JOIN common c ON p.source IS NOT DISTINCT FROM c.source AND p.norm = c.norm GROUP BY p.doc_id),
 toks AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM toks WHERE len(w) >= 5)),

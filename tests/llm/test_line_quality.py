@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -25,25 +27,26 @@ def normal(line):
     return " ".join(re.sub("[1-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in WORD.findall(line))
 
 
-def brute(rows, limit, contexts):
+def brute(rows, limit, share):
     """{row number: removed words} by the rules of the module."""
     per, bodies = [], []
     for text, host in rows:
         lines = [normal(x) for x in (text or "").split("\n") if WORD.search(x)]
-        around = {}
-        for i, x in enumerate(lines):
-            around.setdefault(x, (lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), x).encode() for x in WORD.findall(text or "")] or [b""]
+        windows = [words[i : i + 3] for i in range(max(1, len(words) - 2))]
+        order = [hashlib.md5(x[0]).hexdigest() for x in windows]
+        sign = [tuple(min(x for x, h in zip(windows, order, strict=True) if h == end)) for end in (min(order), max(order))]
         sizes = Counter()
         for x in lines:
             sizes[x] += len(x.split(" "))
-        per.append((host, around, sizes))
-        bodies.append(tuple(sorted(sizes.items())))
-    held = defaultdict(dict)
-    for (host, around, _), body in zip(per, bodies, strict=True):
-        for x, a in around.items():
-            held[host, x].setdefault(body, a)
-    common = {k for k, v in held.items() if len(v) > limit and len(set(v.values())) >= contexts * len(v)}
-    return [sum(n for x, n in sizes.items() if (host, x) in common) for host, _, sizes in per]
+        per.append((host, sizes))
+        bodies.append((tuple(sorted(sizes.items())), tuple(sign)))
+    held = defaultdict(set)
+    for (host, sizes), body in zip(per, bodies, strict=True):
+        for x in sizes:
+            held[host, x].add(body)
+    common = {k for k, v in held.items() if len(v) > limit and max(len({signs[i] for _, signs in v}) for i in (0, 1)) >= share * len(v)}
+    return [sum(n for x, n in sizes.items() if (host, x) in common) for host, sizes in per]
 
 
 def test_against_brute_force(docs, texts):
@@ -68,11 +71,33 @@ def test_copies_are_no_evidence_but_boilerplate_is(spark):
     assert all(out[100 + i] == (True, 5) for i in range(30))
 
 
+def test_blocks_of_lines_go_and_edited_copies_stay(spark):
+    """Boilerplate of several lines, at either end and within, is common; the lines of a page's edited copies are not."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(3))
+    line = lambda: " ".join(word() for _ in range(12))
+    head, body, foot = [line() for _ in range(3)], [line() for _ in range(4)], [line() for _ in range(2)]
+    rows = [(i, "\n".join([*head, line(), line(), line(), *body, line(), line(), line(), line(), *foot]), "h") for i in range(40)]
+    page = [[word() for _ in range(12)] for _ in range(20)]
+    for i in range(100, 160):
+        copy = [list(x) for x in page]
+        for _ in range(12):  # one word in twenty
+            copy[rng.randrange(20)][rng.randrange(12)] = word()
+        rows.append((i, "\n".join(" ".join(x) for x in copy), "h"))
+    out = {r.doc_id: r for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i].n_removed == 9 * 12 and out[i].kept for i in range(40))
+    assert all(out[i].n_removed == 0 and out[i].kept for i in range(100, 160))
+
+
 def test_depleted_documents_go(spark):
     foot = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(i, f"a{chr(97 + i)} b\n{foot}\nc{chr(97 + i)}", "h") for i in range(30)]
-    out = line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_remaining=0.3).collect()
-    assert not any(r.kept or r.base_failed for r in out) and all(r.n_removed == 12 for r in out)
+    stubs = [(i, f"a{chr(97 + i)} b\n{foot}\nc{chr(97 + i)}", "h") for i in range(30)]
+    pages = [(100 + i, f"{' '.join(f'{chr(97 + i % 26)}own{chr(97 + i // 26)}{chr(97 + k)}' for k in range(20))}\n{foot}", "h") for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_quality.judge(frame(stubs + pages), min_remaining=0.4).collect()
+    assert all(r.n_removed == 12 and not r.base_failed and r.kept == (r.doc_id >= 100) for r in out)
+    # Alone, pages of little else than the same line are copies of one another.
+    assert all(r.kept and not r.n_removed for r in line_quality.judge(frame(stubs), min_remaining=0.4).collect())
 
 
 def test_clean_removes_lines_and_keeps_columns(docs):
@@ -89,8 +114,11 @@ def test_empty_table(no_docs):
     assert line_quality.judge(no_docs).collect() == [] and line_quality.clean(no_docs).collect() == []
 
 
-def test_line_hash_is_that_of_measure():
-    text = "A line  of 17 words\n\nanother, line"
-    kinds = set(line_quality.measure(np.frombuffer(text.encode(), dtype=np.uint8))[5][0].tolist())
-    assert kinds == {line_quality.line_hash(x) for x in ("a LINE of 25 words", "another, line")}
-    assert line_quality.line_hash(" \t") is None
+def test_lines_are_cut_by_the_hashes_of_measure():
+    text = "a LINE of 25 words\n\n \t\nanother, line\r\nA line  of 99 words\nlast é"
+    kinds, words = line_quality.measure(np.frombuffer(text.encode(), dtype=np.uint8))[5]
+    assert sorted(words.tolist()) == [2, 2, 10]
+    gone = kinds[words == 10]
+    assert line_quality.without_lines(text, gone) == "\n \t\nanother, line\r\nlast é"
+    assert line_quality.without_lines(text, kinds) == "\n \t"
+    assert line_quality.without_lines(text, gone + np.uint64(1)) == text

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from ._shared import forget, ship, tidy, written
 from ._text import in_steps, shingle_set, utf8_arrays
-from .components import components
+from .components import components, extended
 
 #: The orders' fronts: shingles whose hash, divided by ten, leaves a rest in [from, to).  The first must exceed 1 - threshold by a little.
 SEGMENTS = ((0, 3), (3, 6), (6, 10))
@@ -314,8 +314,9 @@ def linked(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc
     more = _across(placed, labels, percent).join(tried, ["a", "b"], "left_anti")
     more = written(more, "candidates")
     if more.limit(1).count():
-        links = written(links.unionByName(verify(more, sets, percent)), "links")
-        labels = written(components(links), "labels")
+        found = verify(more, sets, percent)
+        labels = written(extended(labels, found), "labels")
+        links = links.unionByName(found)
     for x in (placed, tried, more, info, stored):
         forget(x)
     tidy(spark)

@@ -26,8 +26,33 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Folders below the shared one that this driver has named and not deleted, in order.
+_live: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _live.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _live:
+        _live.remove(path)
+
+
+def n_live() -> int:
+    """A mark for ``forget_since``."""
+    return len(_live)
+
+
+def forget_since(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written after a mark, but ``keep``; results that read it must have been written or used before."""
+    for path in _live[mark:]:
+        if path != getattr(keep, "_loomstead_path", None):
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,9 +68,7 @@ def forget(df: DataFrame) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_loomstead_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -1,11 +1,19 @@
-"""The stages, each against the brute force of its operator; the last test runs them all."""
+"""The stages, each on its own input against the brute force of its operator; columns, order, and the run of them all."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pytest
+import test_jaccard
+import test_line_quality
+import test_mixing
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomstead.llm import quality_model
+from loomstead.llm.queries import token_file
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +43,60 @@ def test_stages_keep_the_columns_and_act(spark, folder):
     assert docs.where("text LIKE '%###%'").count() == 0
 
 
+def test_each_stage_against_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    stored = lambda df: spark.createDataFrame(df.toArrow(), df.schema)
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text", "source").collect()), key=str)
+
+    machine = quality_model.train(docs, labels)
+
+    def good(r):
+        places, values = quality_model.features(None if r.text is None else np.frombuffer(r.text.encode(), dtype=np.uint8), r.n_chars)
+        z = float(machine.w[places] @ values) + sum(float(machine.v[a] @ machine.v[b]) * x * y for i, (a, x) in enumerate(zip(places, values, strict=True)) for b, y in zip(places[:i], values[:i], strict=True))
+        return 1 / (1 + np.exp(-z)) >= 0.3
+
+    short = [r for r in docs.collect() if len(r.text or "") < 1500]  # every pair of features is summed
+    kept = stored(corpus_pipeline.quality(spark, docs, folder))
+    left = Counter(tuple(r) for r in kept.collect())
+    assert all((left[tuple(r)] > 0) == good(r) for r in short)
+
+    before = [(r.doc_id, r.text, r.source) for r in kept.collect()]
+    lost = test_line_quality.brute([(t, s) for _, t, s in before], 20, 0.5)
+    want = []
+    for (d, t, s), gone in zip(before, lost, strict=True):
+        n, *_, repeated = test_line_quality.base(t)
+        if n >= 10 and 100 * repeated <= 20 * n and n - gone >= 0.2 * n:
+            want.append((d, n - gone, s))
+    kept = stored(corpus_pipeline.rules(spark, kept, folder))
+    assert sorted(((d, len((t or "").split()), s) for d, t, s in rows(kept)), key=str) == sorted(want, key=str)
+
+    before = [(d, t) for d, t, _ in rows(kept)]
+    groups = {c for d, n, c in test_jaccard.brute(before) if n and c is not None}
+    alone = Counter(d for d, n, c in test_jaccard.brute(before) if c is None)
+    kept = stored(corpus_pipeline.near_duplicates(spark, kept, folder))
+    assert sorted(d for d, _, _ in rows(kept) if d is not None) == sorted(groups)
+    assert sum(d is None for d, _, _ in rows(kept)) <= alone[None]
+
+    taken = {d: k for d, _, _, _, k in test_mixing.brute(rows(kept)) if k}
+    kept = stored(corpus_pipeline.mixture(spark, kept, folder))
+    words = Counter()
+    for d, t, _ in rows(kept):
+        words[d] += len(t.split())
+    assert words == taken
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_file())
+    tokens = Counter()
+    for d, t, _ in rows(kept):
+        tokens[d] += len(library.encode(t, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.packed(spark, kept, folder).collect():
+        got[r.doc_id] += r.length
+    assert got == tokens
+
+
 def test_run_packs_what_the_mixture_takes(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     rows = out.collect()

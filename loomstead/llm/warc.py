@@ -1,18 +1,24 @@
 """WARC archives of pages: writing with segmentation, reading with reassembly.
 
-Writing.  Every page is a record; long ones are cut into a first segment and
-continuation records, and the payload travels in chunked transfer framing
-under an HTTP header.  Of the records with equal payloads of at least
-``revisit_from`` bytes, that with the smallest page_id is a response and the
-others are revisits without a payload.  Records are text lines whose
-separator is the two line ends that close a WARC record, so that Spark's own
-writer puts standard archives into any store that it reaches.
-
-Reading.  Archives are parsed by their Content-Length.  Segments are grouped by
-their origin's identifier, ordered by segment number and joined; the total
-length that the last one states is verified; the HTTP header is cut off and
-the chunked framing decoded.  Revisits take length and digest from the
-response they refer to, by a join, and check it against their own header.
+Writing.  Every page is a record; those longer than a segment are cut into a
+first segment and continuation records, and the payload travels in chunked
+transfer framing under an HTTP header.  Of the records with equal payloads of at
+least ``revisit_from`` bytes, that with the smallest page_id is a response and
+the others are revisits without a payload; only digests and ids are shuffled to
+decide that, and payloads only where the table of repeated digests is too large
+for a broadcast.  Every record is a gzip member of its own.  A member ends with
+the highest byte of its length, which is 0, and Spark's text writer adds that byte
+as its line end, so that it puts standard archives into any store that it reaches.
+
+Reading.  Archives are decompressed and parsed once, record by record, by their
+Content-Length; what is read is stored.  Segments are grouped by their origin's
+identifier, repeated ones combined before the shuffle, ordered by segment number
+and joined; the total length that the last one states is verified; the HTTP header
+is cut off and the chunked framing decoded.  Revisits take length and digest from
+the response they refer to, by a join, and check it against their own header.
+
+Memory: a task holds one compressed archive (``ARCHIVE_BYTES`` of records, about)
+and one record at a time; a group is one record, which fits in memory by definition.
 
 Defined results: a null html is an empty payload; a null page_id is kept as
 null (ordered last when the response is chosen); fully repeated rows are
@@ -27,19 +33,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_path, ship
+from ._shared import forget, shared_path, ship, written
 
-CHUNK = 16_384
-SEGMENT = 262_144
+#: Bytes of a chunk and of a segment; ordinary pages are longer than both.
+CHUNK = 1024
+SEGMENT = 2048
+#: Bytes of the records of one archive, about, and records in it at most.
+ARCHIVE_BYTES = 64 << 20
+ARCHIVE_RECORDS = 2000
 RECORD_END = "\r\n\r\n"
 
-RECORDS = "record_id string, page_id long, record_type string, segment int, origin string, total_length long, refers_to string, payload_digest string, target_uri string, block binary"
 RESULT = "record_id string, page_id long, target_uri string, record_type string, refers_to_record string, payload_bytes long, payload_digest string, stated_digest string, payload binary, problem string"
 
 
@@ -115,14 +125,24 @@ def _chunked_text(raw: bytes, size: int) -> bytes:
     return b"".join([*(b"%X\r\n%s\r\n" % (len(c), c) for c in _pieces(raw, size) if c), b"0\r\n\r\n"])
 
 
-def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, records_per_file: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def gzip_member(record: bytes, step: int = 8 << 20) -> bytes:
+    """A record as a gzip member without its last byte, which is 0; very long ones take several members."""
+    out = []
+    for at in range(0, len(record), step):
+        c = zlib.compressobj(3, zlib.DEFLATED, 31)
+        out += [c.compress(record[at : at + step]), c.flush()]
+    return b"".join(out)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one archive or more for each partition of ``pages`` below ``path``."""
     ship(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     size, sha = F.octet_length("html"), F.sha1(F.col("html").cast("binary"))
-    # One row for each payload; copies are combined before the shuffle.
+    # One row for each payload; copies are combined before the shuffle.  The table is stored, so that its size is known when the join is planned.
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id"), F.substring(F.sha1(F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit("\0"), F.col("html")).cast("binary")), 1, 16).alias("key")))
     groups = base.where(size >= revisit_from).groupBy(sha.alias("sha")).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.col("first.page_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    groups = written(groups, "payloads")
     judged = base.withColumn("sha", sha).join(groups, "sha", "left")
     revisit = F.col("first_key").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     to = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("none")), F.lit(":"), F.col("first_key"), F.lit(">"))
@@ -131,44 +151,73 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, segment:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                out: list[str] = []
+                out: list[bytes] = []
                 for r in batch.slice(at, 500).to_pylist():
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    out += records_of(r["page_id"], r["url"], r["html"], digest, r["revisit_of"], segment, chunk)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out += [gzip_member((x + RECORD_END).encode()) for x in records_of(r["page_id"], r["url"], r["html"], digest, r["revisit_of"], segment, chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    writer = ready.mapInArrow(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file)
-    writer.text(path)
+    records = ready.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // segment))).text(path)
+    forget(groups)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def _blocks(data: bytes, step: int = 1 << 15) -> Iterator[bytes]:
+    """The bytes of an archive piece by piece; of gzip archives any members."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), 1 << 20):
+            yield data[at : at + (1 << 20)]
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        rest = data[at : at + step]
+        while rest:
+            yield member.decompress(rest)
+            rest = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+
+
+def _record(data: bytearray, at: int) -> tuple[dict[str, object], int] | None:
+    """The record at a place and the place after it; None if there is more of it to come."""
+    end = data.find(b"\r\n\r\n", at) + 4
+    if end < 4:
+        return None
+    if not data.startswith(b"WARC/", at):
+        raise ValueError("no record where one should start")
+    fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, end - 2)}
+    n = int(fields["content-length"])
+    if len(data) < end + n + 4:
+        return None
+    if not data.startswith(b"\r\n\r\n", end + n):
+        raise ValueError("a record does not have its length")
+    record_id = fields["warc-record-id"]
+    origin = fields.get("warc-segment-origin-id", record_id)
+    name = origin.split(":")[2] if origin.startswith("<urn:page:") else "none"
+    record = {
+        "segmented": "warc-segment-number" in fields, "record_id": record_id, "page_id": None if name == "none" else int(name), "record_type": fields["warc-type"],
+        "segment": int(fields.get("warc-segment-number", 1)), "origin": origin, "total_length": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None,
+        "refers_to": fields.get("warc-refers-to"), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "target_uri": fields.get("warc-target-uri"), "block": bytes(data[end : end + n]),
+    }
+    return record, end + n + 4
+
+
 def parse_archive(data: bytes) -> Iterator[dict[str, object]]:
     """The records of an archive, by their headers' Content-Length."""
-    import gzip
-
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at) + 4
-        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, end - 2)}
-        n = int(fields["content-length"])
-        block = data[end : end + n]
-        if len(block) != n or not data.startswith(b"\r\n\r\n", end + n):
-            raise ValueError(f"the record at byte {at} does not have its length")
-        record_id = fields["warc-record-id"]
-        origin = fields.get("warc-segment-origin-id", record_id)
-        name = origin.split(":")[2] if origin.startswith("<urn:page:") else "none"
-        yield {
-            "segmented": "warc-segment-number" in fields, "record_id": record_id, "page_id": None if name == "none" else int(name), "record_type": fields["warc-type"],
-            "segment": int(fields.get("warc-segment-number", 1)), "origin": origin, "total_length": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None,
-            "refers_to": fields.get("warc-refers-to"), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "target_uri": fields.get("warc-target-uri"), "block": block,
-        }
-        at = end + n + 4
+    held, at = bytearray(), 0
+    for block in _blocks(data):
+        held += block
+        while at < len(held) and (found := _record(held, at)):
+            record, at = found
+            yield record
+        if at > 1 << 20 or at == len(held):
+            del held[:at]
+            at = 0
+    if held:
+        raise ValueError("the archive ends within a record")
 
 
 def _payload(block: bytes) -> bytes:
@@ -192,8 +241,10 @@ def _done(record: dict[str, object], block: bytes, problem: str | None, keep: bo
     }
 
 
-_RESULT_SCHEMA = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to_record", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated_digest", pa.string()), ("payload", pa.binary()), ("problem", pa.string())])
-_SEGMENT_SCHEMA = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total_length", pa.int64()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("target_uri", pa.string()), ("block", pa.binary())])
+_FIELDS = [("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to_record", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated_digest", pa.string()), ("payload", pa.binary()), ("problem", pa.string())]
+_RESULT_SCHEMA = pa.schema(_FIELDS)
+_PARSED_SCHEMA = pa.schema([*_FIELDS, ("origin", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary())])
+PARSED = f"{RESULT}, origin string, segment int, total_length long, block binary"
 
 
 def joined_segments(segments: list[dict[str, object]], keep_payload: bool = True) -> list[dict[str, object]]:
@@ -218,38 +269,60 @@ def joined_segments(segments: list[dict[str, object]], keep_payload: bool = True
     return [_done(first, block, problem, keep_payload)] * times
 
 
+def parsed_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+    """The records of the archives below ``path``, stored: whole ones finished, segments with origin, number, stated total length and block."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict[str, object]] = []
+        for batch in batches:
+            for content in batch.column(0):
+                for r in parse_archive(content.as_buffer().to_pybytes()):
+                    if r["segmented"]:
+                        names = ("record_id", "page_id", "target_uri", "record_type", "origin", "segment", "total_length", "block")
+                        rows.append({k: r[k] for k in names} | {"refers_to_record": r["refers_to"], "stated_digest": r["payload_digest"]})
+                    else:
+                        rows.append(_done(r, r["block"], None, keep_payload))
+                    if len(rows) >= 500:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_PARSED_SCHEMA)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED_SCHEMA)
+
+    return written(files.mapInArrow(run, PARSED), "parsed")
+
+
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """The whole records of the archives below ``path``: ``RESULT``.
 
     Records in one piece are finished where they are read; only segments are
-    shuffled and grouped.  A group is one record, whose payload fits in memory
-    by definition.
+    shuffled and grouped.
     """
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
-
-    def parse(segmented: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema, rows = _SEGMENT_SCHEMA if segmented else _RESULT_SCHEMA, []
-            for batch in batches:
-                for content in batch.column(0):
-                    for r in parse_archive(content.as_buffer().to_pybytes()):
-                        if r.pop("segmented") == segmented:
-                            rows.append(r if segmented else _done(r, r["block"], None, keep_payload))
-                        if len(rows) >= 500:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    return whole_records(parsed_archives(spark, path, keep_payload), keep_payload)
 
-        return run
 
-    def join(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(joined_segments(table.to_pylist(), keep_payload), schema=_RESULT_SCHEMA)
+def whole_records(parsed: DataFrame, keep_payload: bool = True) -> DataFrame:
+    """``RESULT`` of every record of ``parsed_archives``, segments joined."""
 
-    whole = files.mapInArrow(parse(False), RESULT)
-    cut = files.mapInArrow(parse(True), RECORDS).groupBy("origin").applyInArrow(join, RESULT)
-    return whole.unionByName(cut)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for parts, n, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                segments = [x | {"block": x["block"].encode(), "refers_to": x["refers_to_record"], "payload_digest": x["stated_digest"]} for x in parts]
+                (row,) = joined_segments(segments, keep_payload)[:1]
+                if n != times * len(parts):
+                    row |= {"payload_bytes": None, "payload_digest": None, "payload": None, "problem": "a segment is missing"}
+                rows.append(row | {"times": max(1, times)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*_FIELDS, ("times", pa.int64())]))
+
+    names = [x for x, _ in _FIELDS]
+    # Blocks are whole characters; as text, repeated segments are equal and combined before the shuffle.
+    part = F.struct("segment", "total_length", "record_id", "page_id", "target_uri", "record_type", "refers_to_record", "stated_digest", F.col("block").cast("string").alias("block"))
+    groups = parsed.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_set(part).alias("parts"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("segment") == 1).alias("times"))
+    joined = groups.select("parts", "n", "times").mapInArrow(run, f"{RESULT}, times long")
+    often = joined.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*names)
+    return parsed.where("origin IS NULL").select(*names).unionByName(often)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -274,6 +347,9 @@ def round_trip(pages: DataFrame, revisit_from: int = 0, segment: int = SEGMENT,
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path, revisit_from, segment, chunk)
-    back = resolve_revisits(read_archives(spark, path, keep_payload=False))
+    parsed = parsed_archives(spark, path, keep_payload=False)
+    records = written(whole_records(parsed, keep_payload=False).drop("payload"), "records")
+    forget(parsed)
+    back = resolve_revisits(records)
     bad = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("WARC record "), F.col("record_id"), F.lit(": "), F.col("problem"))))
     return back.select("page_id", "payload_bytes", F.coalesce(bad.cast("string"), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import gzip
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomstead.llm import warc
+from loomstead.llm._shared import shared_path
 
 
 def test_chunked_framing_round_trip():
@@ -58,7 +60,44 @@ def test_payloads_come_back(spark, tmp_path):
     assert {r.page_id: bytes(r.payload).decode() for r in back} == {i: h for i, _, h in rows}
     assert all(r.problem is None for r in back)
     archive = next((tmp_path / "w").glob("part-*"))
-    assert gzip.decompress(archive.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    data = archive.read_bytes()
+    assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    members, rest = [], data
+    while rest:
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(rest))
+        rest = d.unused_data
+    assert len(members) > 1 and all(x.startswith(b"WARC/1.1\r\n") and x.count(b"WARC-Record-ID") == 1 for x in members)
+
+
+def test_ordinary_pages_are_segmented_and_archives_parsed_once(spark):
+    """The archives of the query itself hold continuation records."""
+    path = shared_path(spark, "warc")
+    warc.write_archives(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), path)
+    parsed = warc.parsed_archives(spark, path, keep_payload=False)
+    kinds = {r.record_type: r["count"] for r in parsed.groupBy("record_type").count().collect()}
+    assert kinds["continuation"] > 100 and kinds["response"] > 0
+    plan = warc.whole_records(parsed, False)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and plan.count("MapInArrow") <= 1
+
+
+def test_a_lost_segment_of_repeated_rows_is_a_problem(spark):
+    rows = [(1, "u", "some text " * 40)] * 3
+    path = shared_path(spark, "warc")
+    warc.write_archives(frame(spark, rows), path, segment=100)
+    parsed = warc.parsed_archives(spark, path)
+    assert [bytes(r.payload).decode() for r in warc.whole_records(parsed).collect()] == [rows[0][2]] * 3
+    lost = parsed.where("segment IS NULL OR segment <> 2")
+    assert {r.problem for r in warc.whole_records(lost).collect()} == {"a segment is missing"}
+
+
+def test_archives_in_one_member_or_none_are_read():
+    raw = b"".join(r.encode() + b"\r\n\r\n" for i in range(300) for r in warc.records_of(i, "u", f"{i} text " * 300, "X", None, 500, 64))
+    want = [r["record_id"] for r in warc.parse_archive(raw)]
+    assert len(want) > 1000
+    assert [r["record_id"] for r in warc.parse_archive(gzip.compress(raw))] == want
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(raw[:-5]))
 
 
 def test_small_payloads_are_all_responses(spark):

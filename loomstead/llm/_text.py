@@ -19,6 +19,9 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+#: Bytes of a word that count for its place in ``SpanHasher.order``, and the powers they are weighted with.
+ORDER_BYTES = 16
+ORDER_POWERS = tuple(pow(_BASE, i + 1, 1 << 64) for i in range(ORDER_BYTES))
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -77,6 +80,11 @@ class SpanHasher:
         return mix64((self.sums[ends] - self.sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+    def order(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number for each span by which spans can be ordered as if at random: the sum of (byte + 1) * base ** (place + 1) over its first ``ORDER_BYTES`` bytes, modulo 2**64."""
+        return (self.sums[np.minimum(ends, starts + ORDER_BYTES)] - self.sums[starts]) * _inverses[starts] * np.uint64(_BASE)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, equal for equal bytes anywhere."""
     return SpanHasher(buf)(starts, ends)

@@ -7,7 +7,7 @@ the limit are removed, and documents of which little remains are rejected.
 
 Copies must not count as evidence against each other: a document is counted by
 its content, not by its id, and its signs must differ too: two of its
-lower-cased three-word windows, those whose first words have the lowest and the highest digest.  Copies of a
+lower-cased three-word windows, those whose first words have the lowest and the highest hash.  Copies of a
 page that are edited here and there mostly share their signs and keep their lines;
 boilerplate of any number of lines stands in pages of different signs and goes,
 unless it is itself the sign at both ends of most of its pages.
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ship, written
-from ._text import SpanHasher, in_steps, lowered, span_hashes, utf8_arrays, window_hashes, word_spans
+from ._text import ORDER_BYTES, ORDER_POWERS, SpanHasher, in_steps, lowered, span_hashes, utf8_arrays, window_hashes, word_spans
 
 #: A line is common if more than this many contents of a host hold it ...
 MAX_DOCUMENTS = 20
@@ -108,21 +107,16 @@ def without_lines(text: str, gone: np.ndarray) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in cut)
 
 
-@lru_cache(maxsize=1 << 18)
-def _digest(word: bytes) -> bytes:
-    return hashlib.md5(word).digest()
-
-
-def signs_of(words: list[bytes], size: int = 3) -> tuple[int, int]:
-    """Hashes of two windows of ``size`` words: that whose first word has the lowest digest and that with the highest; of windows with equal first words the first in the order of their words.
+def signs_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 3) -> tuple[int, int]:
+    """Hashes of two windows of ``size`` words of a lower-cased text: those that begin at the first word of the lowest and of the highest number in ``SpanHasher.order``.
 
     Texts of fewer words have one window, of all their words.
     """
-    heads = words[: max(1, len(words) - size + 1)]
-    kinds = set(heads)
-    ends = (min(kinds, key=_digest), max(kinds, key=_digest))
-    low, high = (b" ".join(min(words[i : i + size] for i, x in enumerate(heads) if x == end)) for end in ends)
-    return _hash(low), _hash(high)
+    heads = max(1, len(starts) - size + 1)
+    order = SpanHasher(low).order(starts[:heads], ends[:heads])
+    at = (int(order.argmin()), int(order.argmax()))
+    lowest, highest = (b" ".join(low[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True)) for i in at)
+    return _hash(lowest), _hash(highest)
 
 
 def _hash(window: bytes) -> int:
@@ -146,7 +140,7 @@ def measure(buf: np.ndarray | None) -> tuple[int, int, int, int, int, tuple[np.n
     kinds = np.unique(normal)
     total = np.zeros(len(kinds), dtype=np.int64)
     np.add.at(total, np.searchsorted(kinds, normal), in_line)
-    return n, chars, symbols, duplicates, repeated_words(hashes(starts, ends)), (kinds, total), signs_of(lowered(buf).tobytes().split())
+    return n, chars, symbols, duplicates, repeated_words(hashes(starts, ends)), (kinds, total), signs_of(lowered(buf), starts, ends)
 
 
 def _content(kinds: np.ndarray, words: np.ndarray, signs: tuple[int, int]) -> int:
@@ -275,12 +269,11 @@ per_line AS (SELECT doc_id, source, norm, SUM(n) AS n FROM used GROUP BY ALL),
 wordy AS (
   SELECT doc_id, string_split(translate(string_agg(array_to_string(w, ' '), ' ' ORDER BY pos), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS w
   FROM used GROUP BY doc_id),
-heads AS (SELECT doc_id, w, list_transform(w[1:greatest(len(w) - 2, 1)], lambda x: md5(x)) AS h FROM wordy),
-ends AS (SELECT doc_id, w, h, list_min(h) AS lo, list_max(h) AS hi FROM heads),
-signs AS (
-  SELECT doc_id, list_min(list_transform(list_filter(range(1, len(h) + 1), lambda i: h[i] = lo), lambda i: w[i:i + 2])) AS low,
-         list_min(list_transform(list_filter(range(1, len(h) + 1), lambda i: h[i] = hi), lambda i: w[i:i + 2])) AS high
-  FROM ends),
+heads AS (
+  SELECT doc_id, w, list_transform(w[1:greatest(len(w) - 2, 1)], lambda x: list_sum(list_transform(range(0, least(strlen(x), ORDER_BYTES)),
+    lambda i: (CAST('0x' || substr(hex(x), 2 * i + 1, 2) AS BIGINT) + 1)::HUGEINT * [ORDER_POWERS][i + 1]))::HUGEINT % 18446744073709551616::HUGEINT) AS h
+  FROM wordy),
+signs AS (SELECT doc_id, w[list_position(h, list_min(h)):list_position(h, list_min(h)) + 2] AS low, w[list_position(h, list_max(h)):list_position(h, list_max(h)) + 2] AS high FROM heads),
 bodies AS (SELECT doc_id, list_sort(list(norm || ':' || n)) AS body FROM per_line GROUP BY doc_id),
 bodied AS (SELECT DISTINCT p.source, p.norm, b.body, s.low, s.high FROM per_line p JOIN bodies b USING (doc_id) JOIN signs s USING (doc_id)),
 common AS (
@@ -301,4 +294,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed >= 0.2 * n_words AS kept, n_removed::BIGINT AS n_removed
 FROM base
-"""
+""".replace("ORDER_BYTES", str(ORDER_BYTES)).replace("ORDER_POWERS", ", ".join(f"{x}::HUGEINT" for x in ORDER_POWERS))

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomstead.llm import line_quality
+from loomstead.llm._text import ORDER_POWERS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,8 +34,8 @@ def brute(rows, limit, share):
         lines = [normal(x) for x in (text or "").split("\n") if WORD.search(x)]
         words = [re.sub("[A-Z]", lambda m: m[0].lower(), x).encode() for x in WORD.findall(text or "")] or [b""]
         windows = [words[i : i + 3] for i in range(max(1, len(words) - 2))]
-        order = [hashlib.md5(x[0]).hexdigest() for x in windows]
-        sign = [tuple(min(x for x, h in zip(windows, order, strict=True) if h == end)) for end in (min(order), max(order))]
+        order = [sum((c + 1) * p for c, p in zip(x[0], ORDER_POWERS, strict=False)) % 2**64 for x in windows]
+        sign = [tuple(windows[order.index(end)]) for end in (min(order), max(order))]
         sizes = Counter()
         for x in lines:
             sizes[x] += len(x.split(" "))
@@ -92,7 +92,7 @@ def test_blocks_of_lines_go_and_edited_copies_stay(spark):
 def test_depleted_documents_go(spark):
     foot = "one two three four five six seven eight nine ten eleven twelve"
     stubs = [(i, f"a{chr(97 + i)} b\n{foot}\nc{chr(97 + i)}", "h") for i in range(30)]
-    pages = [(100 + i, f"{' '.join(f'{chr(97 + i % 26)}own{chr(97 + i // 26)}{chr(97 + k)}' for k in range(20))}\n{foot}", "h") for i in range(40)]
+    pages = [(100 + i, f"{' '.join(f'{chr(97 + i % 26)}own{chr(97 + i // 26)}{chr(97 + k)}' for k in range(60))}\n{foot}", "h") for i in range(100)]
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = line_quality.judge(frame(stubs + pages), min_remaining=0.4).collect()
     assert all(r.n_removed == 12 and not r.base_failed and r.kept == (r.doc_id >= 100) for r in out)

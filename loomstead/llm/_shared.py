@@ -36,7 +36,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     if path in _live:
@@ -52,7 +53,7 @@ def forget_since(spark: SparkSession, mark: int = 0, keep: DataFrame | None = No
     """Delete what was written after a mark, but ``keep``; results that read it must have been written or used before."""
     for path in _live[mark:]:
         if path != getattr(keep, "_loomstead_path", None):
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +69,7 @@ def forget(df: DataFrame) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_loomstead_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import forget, shared_path, ship, written
+from ._shared import delete, forget, shared_path, ship, written
 
 #: Bytes of a chunk and of a segment; ordinary pages are longer than both.
 CHUNK = 1024
@@ -343,11 +343,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
-    """Write the pages as archives in the shared folder and read them back; a record with a problem ends the job."""
+    """Write the pages as archives in the shared folder, read them back and delete them; a record with a problem ends the job."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path, revisit_from, segment, chunk)
     parsed = parsed_archives(spark, path, keep_payload=False)
+    delete(spark, path)
     records = written(whole_records(parsed, keep_payload=False).drop("payload"), "records")
     forget(parsed)
     back = resolve_revisits(records)

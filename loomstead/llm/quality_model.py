@@ -11,7 +11,8 @@ all pairwise interactions of rank ``RANK`` in time linear in the features.
 The model is fitted on the driver to a bounded sample: at most ``PER_CLASS``
 labelled rows of each class outside the held-out fold, those whose hashed ids
 are the smallest, so that reruns agree.  A row has ``DIMENSIONS`` and a few
-numbers, hence the sample has a size bound whatever the texts' lengths.
+numbers, hence the sample has a size bound whatever the texts' lengths; only
+its non-zero features are held, and ``BLOCK`` rows at once are spread out.
 Scoring passes over every whole text once, without a shuffle.
 
 Defined results: null and empty texts have no words and are scored on their
@@ -40,6 +41,8 @@ from .line_quality import repeated_words, used_lines, word_chars
 DIMENSIONS = 4096
 RANK = 8
 PER_CLASS = 2000
+#: Rows of the sample that the fit spreads out at once.
+BLOCK = 200
 ROUNDS = 120
 RATE = 0.05
 DECAY = 1e-4
@@ -109,8 +112,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> Machine:
-    """Full-batch Adam on the logistic loss, classes weighing the same; deterministic."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> Machine:
+    """Full-batch Adam on the logistic loss, classes weighing the same; deterministic.
+
+    ``rows`` are places and values.  They are spread out ``BLOCK`` at a time, so
+    that the driver never holds the sample as a dense matrix.
+    """
     rng = np.random.default_rng(7)
     machine = Machine(np.zeros(WIDTH, dtype=np.float32), (0.01 * rng.standard_normal((WIDTH, RANK))).astype(np.float32))
     ones = int(y.sum())
@@ -121,11 +128,24 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE,
         return machine
     weight = np.where(y > 0, 0.5 / ones, 0.5 / (len(y) - ones)).astype(np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (machine.w, machine.v)]
-    squares = x * x
+    x, squares = np.zeros((BLOCK, WIDTH), dtype=np.float32), np.zeros((BLOCK, WIDTH), dtype=np.float32)
     for t in range(1, rounds + 1):
-        d = ((machine.score(x) - y) * weight).astype(np.float32)
-        s = x @ machine.v
-        grads = (x.T @ d + decay * machine.w, x.T @ (s * d[:, None]) - machine.v * (squares.T @ d)[:, None] + decay * machine.v)
+        both, norms = np.column_stack([machine.w, machine.v]), (machine.v * machine.v).sum(1)
+        slope, bend = np.zeros((WIDTH, RANK + 1), dtype=np.float32), np.zeros(WIDTH, dtype=np.float32)
+        for at in range(0, len(y), BLOCK):
+            block = rows[at : at + BLOCK]
+            k = len(block)
+            cells = np.concatenate([p for p, _ in block]) + np.repeat(np.arange(k) * WIDTH, [len(p) for p, _ in block])
+            values = np.concatenate([v for _, v in block])
+            x.ravel()[cells], squares.ravel()[cells] = values, values * values
+            z = x[:k] @ both
+            s = z[:, 1:]
+            score = sigmoid(z[:, 0] + 0.5 * ((s * s).sum(1) - squares[:k] @ norms))
+            d = ((score - y[at : at + k]) * weight[at : at + k]).astype(np.float32)
+            slope += x[:k].T @ np.column_stack([d, s * d[:, None]])
+            bend += squares[:k].T @ d
+            x.ravel()[cells], squares.ravel()[cells] = 0, 0
+        grads = (slope[:, 0] + decay * machine.w, slope[:, 1:] - machine.v * bend[:, None] + decay * machine.v)
         for p, g, (a, b) in zip((machine.w, machine.v), grads, moments, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -161,11 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
 
     got = rows.mapInArrow(run, "doc_id long, y int, ix binary, x binary").toArrow().sort_by("doc_id")
     seen = np.unique(np.array(got["doc_id"]), return_index=True)[1] if got.num_rows else []
-    x, y = np.zeros((len(seen), WIDTH), dtype=np.float32), np.zeros(len(seen), dtype=np.float32)
-    for k, i in enumerate(seen):
-        x[k, np.frombuffer(got["ix"][int(i)].as_py(), dtype="<i2")] = np.frombuffer(got["x"][int(i)].as_py(), dtype=np.float32)
-        y[k] = got["y"][int(i)].as_py()
-    return fit(x, y)
+    got = got.take(pa.array(seen, pa.int64()))
+    rows = [(np.frombuffer(p.as_buffer(), dtype="<i2"), np.frombuffer(v.as_buffer(), dtype=np.float32)) for p, v in zip(got["ix"], got["x"], strict=True)]
+    return fit(rows, got["y"].to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", carry: bool = False) -> DataFrame:

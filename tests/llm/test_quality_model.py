@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,3 +100,18 @@ def test_sparse_scores_are_the_dense_ones(texts):
         x[i, places] = values
     assert machine.score_sparse(rows) == pytest.approx(machine.score(x), abs=1e-4)
     assert machine.score_sparse([]).tolist() == []
+
+
+def test_training_holds_no_dense_sample(labelled, monkeypatch):
+    docs, labels, truth = labelled
+    whole = qm.train(docs, labels)
+    monkeypatch.setattr(qm, "BLOCK", 30, raising=False)
+    learnt = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in truth)
+    tracemalloc.start()
+    try:
+        machine = qm.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * learnt * qm.WIDTH
+    assert machine.w == pytest.approx(whole.w, abs=1e-3) and machine.v == pytest.approx(whole.v, abs=1e-3)
